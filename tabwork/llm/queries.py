@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules
+from . import chat_format, knn_join, mixing, packing, parity_join, quality_rules, secret_scan, sharding, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_chat_formatting": chat_format.op2_chat_formatting,
+        "op3_parity_join": parity_join.op3_parity_join,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_voronoi_knn": knn_join.op5_voronoi_knn,
+        "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_sharding": sharding.op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat_format.oracle()}
+    return {"op2_chat_formatting": chat_format.oracle(), "op5_voronoi_knn": knn_join.ORACLE}
