@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, knn_join, mixing, packing, parity_join, quality_rules, secret_scan, sharding, token_counts
+from . import chat_format, knn_join, mixing, packing, parity_join, quality_rules, secret_scan, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_mixing": mixing.op8_mixing,
         "op9_sharding": sharding.op9_sharding,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
