@@ -101,7 +101,7 @@ def relative(name: str, as_of: dt.date, quarter: int | None = None) -> tuple[dt.
 
 def date_column(df: DataFrame, hints: tuple[str, ...] = ("date", "day", "time")) -> str | None:
     """The column to search dates in: a native one, one whose name says so, or the first text column of which half parses. Runs one job."""
-    native = [f.name for f in df.schema if isinstance(f.dataType, (T.DateType, T.TimestampType))]
+    native = [f.name for f in df.schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
     if native:
         return native[0]
     texts = text_columns(df)
