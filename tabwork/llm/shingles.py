@@ -23,7 +23,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE^i and its inverse mod 2^64 for i < n."""
     if not _powers or len(_powers[0]) < n:
         inverse = np.uint64(pow(int(_BASE), -1, 2 ** 64))
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), b, np.uint64)])) for b in (_BASE, inverse)]
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 19), b, np.uint64)])) for b in (_BASE, inverse)]
     return _powers[0], _powers[1]
 
 
@@ -69,11 +69,14 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def in_chunks(ids: list, texts: list, most: int = 1 << 20):
-    """(ids, texts) in runs of about `most` characters."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most or i + 1 == len(texts):
-            yield ids[at:i + 1], [t or "" for t in texts[at:i + 1]]
-            at, size = i + 1, 0
+def in_chunks(batch, most: int = 1 << 18, rows: int = 512):
+    """(ids, texts) of an Arrow batch of two columns, in runs of about `most` characters; only `rows` texts are Python strings at a time."""
+    for begin in range(0, batch.num_rows, rows):
+        part = batch.slice(begin, rows)
+        ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+        at, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= most or i + 1 == len(texts):
+                yield ids[at:i + 1], texts[at:i + 1]
+                at, size = i + 1, 0

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import saved
+from .shingles import in_chunks
 from .tokens import encoder
 
 
@@ -70,13 +71,14 @@ def write_blocks(docs: DataFrame, layout: Layout = Layout()) -> tuple[DataFrame,
             return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block - 1], pa.int64()), pa.array([data], pa.binary()), pa.array([inside], pa.list_(pa.int64()))], names=["file", "block", "data", "doc_ids"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*encode(text or ""), layout.end_id], dtype=kind)
-                ids[:-1][ids[:-1] == layout.end_id] = 0 if layout.end_id else 1
-                room += ids.tobytes()
-                ends.append((len(room), doc_id))
-                while len(room) >= layout.block_bytes:
-                    yield flush(layout.block_bytes)
+            for doc_ids, texts in in_chunks(batch):
+                for doc_id, text in zip(doc_ids, texts):
+                    ids = np.array([*encode(text), layout.end_id], dtype=kind)
+                    ids[:-1][ids[:-1] == layout.end_id] = 0 if layout.end_id else 1
+                    room += ids.tobytes()
+                    ends.append((len(room), doc_id))
+                    while len(room) >= layout.block_bytes:
+                        yield flush(layout.block_bytes)
         if room:
             yield flush(len(room))
 

@@ -275,7 +275,7 @@ def scored(docs: DataFrame, labels: DataFrame, how: Network = Network()) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, part in in_chunks(b.column(0).to_pylist(), b.column(1).to_pylist(), 1 << 19):
+            for ids, part in in_chunks(b, 1 << 19):
                 scores = model.score(part) if model else np.zeros(len(part))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
