@@ -110,7 +110,7 @@ def merge_kind(text: Column, union_hints: list[str], join_hints: list[str]) -> C
 def code_block(df: DataFrame, text: str, fence: str = FENCE) -> DataFrame:
     """df with code (the first fenced block, or null) and said (the text before it)."""
     has = F.col(text).rlike(fence)
-    return df.withColumns({"code": F.when(has, F.regexp_extract(text, fence, 1)), "said": F.trim(F.when(has, F.substring_index(text, "```", 1)).otherwise(F.col(text)))})
+    return df.withColumns({"code": F.when(has, F.regexp_extract(text, fence, 1)), "said": F.trim(F.when(has, F.substring_index(text, "```", 1)).otherwise(F.col(text)), F.lit(" \t\r\n"))})
 
 
 def runs_per_label(runs: DataFrame, label: str, names: dict[str, str] | None = None) -> DataFrame:
