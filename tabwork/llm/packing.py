@@ -86,6 +86,8 @@ def packed(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))],
                                                  names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+            del batch
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, SCHEMA)
 
