@@ -162,4 +162,4 @@ def quality_filter(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = judged(saved(measured(docs, "quality").drop("text"), "measures"), "quality")
-    return out.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")])
+    return out.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")], *[F.round(f"quality.{c}", 6).alias(c) for c in ("class_distance", "word_distance")])

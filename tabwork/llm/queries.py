@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, knn_join, mixing, packing, parity_join, quality_rules, secret_scan, sharding, token_counts, toxicity
+from . import chat_format, knn_join, mixing, oracles, packing, parity_join, quality_rules, secret_scan, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat_format.oracle(), "op5_voronoi_knn": knn_join.ORACLE}
+    return {
+        "op2_chat_formatting": chat_format.oracle(),
+        "op4_quality_rules": oracles.quality_sql(),
+        "op5_voronoi_knn": knn_join.ORACLE,
+        "op6_secret_scan": oracles.secrets_sql(),
+    }
