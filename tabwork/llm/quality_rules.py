@@ -11,6 +11,7 @@ table gives an empty table; input columns of any name are kept, the added ones g
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,6 +26,8 @@ COMMON_WORDS = {
     "fr": "de la le les et des un une en du que est pour qui dans par sur au pas plus".split(),
 }
 CLASSES = ("lower", "blank", "upper", "digit", "symbol", "mark", "other")
+#: a whole word without a letter or digit
+BARE_WORD = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
 N_WORDS = 1 + max(map(len, COMMON_WORDS.values()))
 
 
@@ -40,10 +43,18 @@ class Rules:
     max_word_distance: float = 0.325
     #: references up to this many languages are broadcast; beyond it the join is left to Spark
     broadcast_languages: int = 2000
+    #: words without a letter or digit are a class of the word histogram of their own
+    bare_class: bool = False
+    #: if set, the word distance may exceed what chance alone gives at the document's length by this much at most
+    word_margin: float | None = None
 
 
-def measured(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a struct column `name`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, words.
+#: As `Rules`, and long texts are judged more tightly; the pipeline's. (The query op4_quality_rules follows its SQL.)
+BY_LENGTH = Rules(bare_class=True, word_margin=0.1)
+
+
+def measured(docs: DataFrame, name: str, rules: Rules = Rules()) -> DataFrame:
+    """docs with a struct column `name`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, words (and n_bare with bare_class).
 
     Each step is a column of its own: what stands inside a lambda or is taken from a struct would be worked out again for
     every element and every use.
@@ -93,6 +104,7 @@ def measured(docs: DataFrame, name: str) -> DataFrame:
         F.coalesce(_spread(at("repeated")), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(at("word_chars") - at("rares"), at("chars") - at("word_chars"), at("upper"), at("digit"), at("symbol"), at("mark"), at("rares") - at("upper") - at("digit") - at("symbol") - at("mark")).alias("classes"),
         F.transform(at("listed"), lambda w: F.size(F.filter(at("common"), lambda x: x == w)).cast("long")).alias("words"),
+        *([F.regexp_count(text, F.lit(BARE_WORD)).cast("long").alias("n_bare")] if rules.bare_class else []),
     ))
     return out.drop(*own)
 
@@ -112,10 +124,10 @@ def references(measures: DataFrame, name: str, rules: Rules) -> DataFrame:
     m = F.col(name)
     total = lambda part, k: [F.coalesce(F.sum(F.get(m[part], i)), F.lit(0)).alias(f"{part}{i}") for i in range(k)]
     k = N_WORDS - 1
-    sums = measures.filter(~base_failed(m, rules)).groupBy("lang").agg(*total("classes", len(CLASSES)), *total("words", k), F.sum(m["n_words"]).alias("all"))
+    sums = measures.filter(~base_failed(m, rules)).groupBy("lang").agg(*total("classes", len(CLASSES)), *total("words", k), F.sum(m["n_words"]).alias("all"), *([F.sum(m["n_bare"]).alias("bare")] if rules.bare_class else []))
     return sums.select(
         F.col("lang").alias("_ref_lang"), F.array(*[f"classes{i}" for i in range(len(CLASSES))]).alias("_ref_classes"),
-        F.array(*[f"words{i}" for i in range(k)]).alias("_ref_words"), F.col("all").alias("_ref_all"))
+        F.array(*[f"words{i}" for i in range(k)]).alias("_ref_words"), F.col("all").alias("_ref_all"), *([F.col("bare").alias("_ref_bare")] if rules.bare_class else []))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -127,6 +139,11 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda s, v: s + v), F.lit(0.0)))
 
 
+def chance_distance(classes: Column, n: Column) -> Column:
+    """About the distance that n draws from the reference itself have from it: n * 8 ln 2 times its square is chi-square distributed."""
+    return F.sqrt((classes - 1) / (8 * math.log(2) * F.greatest(n, F.lit(1))))
+
+
 def shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda x: F.coalesce(F.try_divide(x.cast("double"), total), F.lit(0.0)))
 
@@ -138,25 +155,33 @@ def judged(measures: DataFrame, name: str, rules: Rules = Rules()) -> DataFrame:
     joined = measures.join(F.broadcast(refs) if small else refs, F.col("lang").eqNullSafe(F.col("_ref_lang")), "left")
     m = F.col(name)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
+    bare, ref_bare = ([m["n_bare"]], [F.col("_ref_bare")]) if rules.bare_class else ([], [])
+    if rules.bare_class:
+        # the reference's bare words count up to the document's share of them: to have fewer is no fault, however many the others have
+        some = (F.col("_ref_all") - F.col("_ref_bare")) * F.try_divide(m["n_bare"].cast("double"), m["n_words"] - m["n_bare"])
+        joined = joined.withColumns({"_ref_all": F.col("_ref_all") - F.col("_ref_bare") + F.least("_ref_bare", some), "_ref_bare": F.least("_ref_bare", some)})
     # the words outside the list are one more class
     steps = joined.withColumns({
-        "_p_words": F.concat(m["words"], F.array(m["n_words"] - total(m["words"]))), "_ref_words": F.slice("_ref_words", F.lit(1), F.size(m["words"])),
+        "_p_words": F.concat(m["words"], F.array(*bare, sum((-x for x in bare), m["n_words"] - total(m["words"])))), "_ref_words": F.slice("_ref_words", F.lit(1), F.size(m["words"])),
         "_p_chars": total(m["classes"]), "_q_chars": total(F.col("_ref_classes"))})
     steps = steps.withColumns({
         "_d_class": js_distance(shares(m["classes"], F.col("_p_chars")), shares(F.col("_ref_classes"), F.col("_q_chars"))),
-        "_d_word": js_distance(shares(F.col("_p_words"), m["n_words"]), shares(F.concat("_ref_words", F.array(F.col("_ref_all") - total(F.col("_ref_words")))), F.col("_ref_all")))})
+        "_d_word": js_distance(shares(F.col("_p_words"), m["n_words"]), shares(F.concat("_ref_words", F.array(*ref_bare, sum((-x for x in ref_bare), F.col("_ref_all") - total(F.col("_ref_words"))))), F.col("_ref_all")))})
     fails = base_failed(m, rules)
     class_d = F.when(F.col("_ref_all").isNotNull() & (F.col("_p_chars") >= rules.guard_chars), F.col("_d_class")).otherwise(0.0)
     word_d = F.when(F.col("_ref_all").isNotNull() & (m["n_words"] >= rules.guard_words), F.col("_d_word")).otherwise(0.0)
+    word_limit = F.lit(rules.max_word_distance)
+    if rules.word_margin is not None:
+        word_limit = F.least(word_limit, rules.word_margin + chance_distance(F.size("_p_words"), m["n_words"]))
     return steps.select(*[F.col(f"`{c}`") for c in measures.columns if c != name], F.struct(
         f"{name}.*", fails.alias("base_failed"), class_d.alias("class_distance"), word_d.alias("word_distance"),
-        (~fails & (class_d <= rules.max_class_distance) & (word_d <= rules.max_word_distance)).alias("kept")).alias(name))
+        (~fails & (class_d <= rules.max_class_distance) & (word_d <= word_limit)).alias("kept")).alias(name))
 
 
-def quality_filter(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def quality_filter(docs: DataFrame, rules: Rules = BY_LENGTH) -> DataFrame:
     """The documents that pass, with their columns as they were."""
     name = free_name(docs, "quality")
-    return judged(saved(measured(docs, name), "measures"), name, rules).filter(F.col(name)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(saved(measured(docs, name, rules), "measures"), name, rules).filter(F.col(name)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

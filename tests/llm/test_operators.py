@@ -43,6 +43,18 @@ def test_quality(spark, docs, odd):
     assert quality_rules.quality_filter(odd.limit(0)).count() == 0
 
 
+def test_word_lists(spark, docs):
+    """Long texts whose words stand between bars go; the same texts without the bars stay. The query's rules keep such lists."""
+    clean = quality_rules.quality_filter(docs.filter("lang = 'en'")).filter(F.size(F.split("text", " ")) > 300).orderBy("doc_id").limit(20).localCheckpoint()
+    lists = clean.limit(2).select((F.col("doc_id") + 10 ** 9).alias("doc_id"), F.array_join(F.split(F.trim("text"), r"\s+"), " | ").alias("text"), "lang", "source", "n_chars")
+    both = docs.unionByName(lists).localCheckpoint()
+    planted, before = F.col("doc_id") >= 10 ** 9, both.join(clean.select("doc_id"), "doc_id", "left_semi").count()
+    kept = quality_rules.quality_filter(both)
+    assert before > 0 and kept.filter(planted).count() == 0
+    assert kept.join(clean.select("doc_id"), "doc_id", "left_semi").count() == before
+    assert quality_rules.quality_filter(both, quality_rules.Rules()).filter(planted).count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     """Each query that has SQL, over whole tables: the same columns and rows."""
