@@ -498,6 +498,12 @@ def t3_similar_vectors(r):
     return rounded(X.similar_vectors(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 2, "label"), "score", to=6)
 
 
+@query(_SQL["t3_similar_vectors"].replace("% 100", "% 20"))
+def t3_similar_vectors_20(r):
+    e = r("embeddings")
+    return rounded(X.similar_vectors(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 2, "label"), "score", to=6)
+
+
 @query("SELECT count(*)::BIGINT AS rows FROM (SELECT DISTINCT 'custom_' || substr(md5(text), 1, 8) FROM benchmark)")
 def t4_append_new(r):
     b = r("benchmark").select("text")

@@ -5,6 +5,7 @@ import math
 import zipfile
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,31 @@ def test_code_blocks(spark):
     assert rows(X.code_block(df, "t").select("code", "said")) == [("x = 1\n", "see"), (None, "none")]
 
 
+def test_similar_vectors(spark):
+    """More queries than the former cap of 1000, in blocks, against all pairs; odd vectors; every 20th vector against SQL."""
+    g = np.random.default_rng(5)
+    v = g.integers(-3, 4, (1100, 4)).astype(float)
+    data = [(i, x.tolist(), int(i % 3) if i % 7 else None) for i, x in enumerate(v)] + [(2000, None, 1), (2001, [1.0, None, 0.0, 0.0], 1), (2002, [1.0], 1)]
+    df = spark.createDataFrame(data, "id long, v array<double>, kind int")
+    got = {(r["query"], r["rank"]): (r["match"], r["score"]) for r in X.similar_vectors(df, df, "id", "v", 2, "kind", block=300).collect()}
+    assert len(got) == 2 * len(data)
+    norm, kinds = np.sqrt((v * v).sum(1)), np.array([-1 if k is None else k for _, _, k in data[:1100]])
+    for i in range(1100):
+        if norm[i]:
+            with np.errstate(all="ignore"):
+                s = np.where(norm > 0, v @ v[i] / (norm * norm[i]) + 0.1 * ((kinds == kinds[i]) & (kinds[i] >= 0)), -9)
+            s[i] = -9
+            want = sorted(range(1100), key=lambda j: (-round(s[j], 9), j))[:2]
+            assert [got[i, 1][0], got[i, 2][0]] == want and abs(got[i, 1][1] - s[want[0]]) < 1e-9
+    assert all(got[q, 1][1] is None and got[q, 1][0] == 0 for q in (2000, 2001, 2002))
+    assert X.similar_vectors(df, df.limit(0), "id", "v").count() == 0
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    name = "t3_similar_vectors_20"
+    want = c.sql(table_queries.oracle_sql()[name])
+    assert rows(table_queries.queries()[name](spark, SF).select(*want.columns)) == sorted(want.fetchall(), key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(table_queries.oracle_sql()))
 def test_query_rows(spark, name):
     c = duckdb.connect()
