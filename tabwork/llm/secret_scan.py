@@ -2,7 +2,8 @@
 
 Only DataFrame functions. A pattern's matches and the pieces between them (`regexp_extract_all` and `split` with the same
 pattern) give every span in code points. The entropy of a window follows from the window before it: one count goes up,
-one goes down, and the sum of n * log2(n) changes by their terms alone.
+one goes down, and the sum of n * log2(n) changes by their terms alone. Spans of patterns are cut out of a candidate first; what is
+left of it on either side is scanned where it has room for a window, and is a candidate by itself.
 
 Defined results for odd input: a null text counts as empty and has no spans; repeated rows get equal results; an empty
 table gives an empty table; input columns of any name are kept, the added one gives way (`free_name`).
@@ -97,6 +98,21 @@ def _entropy_spans(candidates: Column, rules: EntropyRules) -> Column:
     return F.transform(hits, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
+def _cut(m: Column, base: Column, least: int) -> Column:
+    """What is left of candidate m without the spans in base (ordered by start), in pieces of `least` characters or more."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.when(end - start >= least, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)
+
+    zero = F.struct(m["start"].alias("at"), none.alias("found"))
+    inside = F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    pieces = F.aggregate(
+        inside, zero, lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["found"], piece(acc["at"], b["start"])).alias("found")),
+        lambda acc: F.concat(acc["found"], piece(acc["at"], m["end"])))
+    return F.transform(pieces, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(m["text"], x["start"] - m["start"] + 1, x["end"] - x["start"]).alias("text")))
+
+
 def scanned(docs: DataFrame, name: str, rules: EntropyRules = EntropyRules()) -> DataFrame:
     """docs with an array column `name` of struct<start, kind, end>, ordered by start, then kind."""
     text, t = text_of(), f"_{name}"
@@ -110,11 +126,11 @@ def scanned(docs: DataFrame, name: str, rules: EntropyRules = EntropyRules()) ->
     mixed = lambda m: F.lit(True)
     for p in rules.needs:
         mixed = (lambda f, p: lambda m: f(m) & m["text"].rlike(p))(mixed, p)
-    apart = lambda m: ~F.exists(F.col(f"{t}_base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    out = out.withColumn(f"{t}_left", F.filter(F.col(f"{t}_entropy"), lambda m: mixed(m) & ~m["text"].rlike(rules.allowed) & apart(m)))
+    out = out.withColumn(f"{t}_cut", F.when(F.size(f"{t}_entropy") > 0, F.flatten(F.transform(f"{t}_entropy", lambda m: _cut(m, F.array_sort(f"{t}_base"), rules.window)))))
+    out = out.withColumn(f"{t}_left", F.filter(f"{t}_cut", lambda m: mixed(m) & ~m["text"].rlike(rules.allowed)))
     extra = F.when(F.size(f"{t}_left") > 0, _entropy_spans(F.col(f"{t}_left"), rules)).otherwise(F.array().cast(_SPANS))
     out = out.withColumn(name, F.array_sort(F.concat(f"{t}_base", extra)))
-    return out.drop(f"{t}_base", f"{t}_left", *[f"{t}_{k}{e}" for k in KINDS for e in ("_p", "_m", "")])
+    return out.drop(f"{t}_base", f"{t}_left", f"{t}_cut", *[f"{t}_{k}{e}" for k in KINDS for e in ("_p", "_m", "")])
 
 
 def span_text(spans: Column) -> Column:
