@@ -126,6 +126,40 @@ def test_parity_join(docs, odd):
     assert parity_join.jaccard_components(odd.limit(0)).count() == 0
 
 
+def test_parity_join_common(spark):
+    """Every shared lane counts as common, so all links across components come from the branch for crowded texts; against all pairs."""
+    rng, rows = np.random.default_rng(3), []
+    for g in range(25):
+        base = [f"w{g}x{i}" for i in range(76)]
+        for _ in range(8):
+            w = base[rng.integers(0, 5):int(rng.integers(56, 77))]
+            for at in rng.integers(0, len(w), rng.integers(0, 3)):
+                w[at] = f"r{rng.integers(10 ** 9)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = {i: frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) for i, t in rows for w in [t.split()]}
+    up = {}
+    for i in sets:
+        up[i] = i
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = {k: low if v == high else v for k, v in up.items()}
+    got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), parity_join.Join(common=0)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == up
+
+
+def test_parity_join_crowded(spark, monkeypatch):
+    """A pair that agrees in spare + 1 lanes of its smaller text, all of them common, links though the larger text has more spare lanes than that."""
+    def same_lanes(texts, ordered):
+        return texts.select("node", F.lit(0).alias("band"), F.lit(1).alias("need"), F.array(*map(F.lit, range(3))).alias("keys"))
+
+    monkeypatch.setattr(parity_join, "_keys", same_lanes)
+    words = [f"w{i}" for i in range(74)]
+    rows = [(0, " ".join(f"p{i}" for i in range(204))), (1, " ".join(words[:66])), (2, " ".join(words))]
+    got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), parity_join.Join(common=2)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {0: (200, 0), 1: (62, 1), 2: (70, 1)}
+
+
 def test_sketch_bounds():
     rng = np.random.default_rng(1)
     for n in (3, 20, 70, 500):
