@@ -5,23 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word is a run of characters other than space, tab, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
-_fallback: list[str] = []
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a scratch folder where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the folder given to setCheckpointDir.
+
+    Where neither is set, a session on one machine (master local) gets a scratch folder; on a cluster that is an error, as
+    each executor would write to a disk of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="tabwork-"))
-    return "file://" + _fallback[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tabwork-"))
+    return "file://" + _local[0]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -48,9 +54,30 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANK, -1), lambda w: w != "")
 
 
+def quoted(name: str) -> Column:
+    """A column of any name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
-    """`wanted`, with underscores in front until no column of df is called that (case ignored, as Spark does)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
+    """`wanted`, with underscores in front until no column of df begins like that (case ignored, as Spark does).
+
+    So it may be used as a name and as the beginning of names.
+    """
+    while any(c.lower().startswith(wanted.lower()) for c in df.columns):
         wanted = "_" + wanted
     return wanted
+
+
+def ranked(values: DataFrame, column: str) -> DataFrame:
+    """column, position (from 0) of the distinct values of a column in order, null last; a saved table.
+
+    Values are spread by range and sorted within the ranges; what stands before a range follows from the counts of ranges.
+    """
+    ordered = values.select(column).distinct().repartitionByRange(F.col(column).asc_nulls_last()).sortWithinPartitions(F.col(column).asc_nulls_last())
+    placed = saved(ordered.select(column, F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")), "ranked")
+    # one row per range
+    ranges = placed.groupBy("range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select("range", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(starts), "range").select(column, (F.col("before") + F.col("at") - F.col("first")).alias("position"))

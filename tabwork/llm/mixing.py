@@ -2,21 +2,23 @@
 per source is found in the histogram and refined in its boundary bucket, and a filter on the hash does the rest.
 
 A source that must be taken more than once gives whole copies of all its documents and, of one more copy, those whose
-hash lies below its threshold: the samples are nested, so a larger budget only adds documents.
+hash lies below its threshold: the samples are nested, so a larger budget only adds documents. Whole documents are
+taken, so a source may miss its target by half of the document at its threshold.
 
 Defined results for odd input: a null text has size 0; a null source is a source of its own, last in order; documents
 with equal id and equal text share a hash and are taken alike; where all sizes are 0 all targets are 0 and nothing is
-taken; an empty table gives an empty table; input columns of any name are kept, the added ones give way (`free_name`).
+taken; an empty table gives an empty table; input columns of any name are kept, the added ones give way (`free_name`);
+a text of any length counts whole.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import free_name, saved, text_of, word_count
-from .thresholds import TOP, cuts
+from .common import free_name, quoted, ranked, saved, text_of, word_count
+from .thresholds import cuts
 
 
 @dataclass(frozen=True)
@@ -29,8 +31,9 @@ class Mix:
 
 
 def place(doc_id: Column, text: Column) -> Column:
-    """The place of a document in [0, 2^60), the same in every run."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), doc_id.cast("string"), text), 4)
+    """The place of a document in [0, 2^60), the same in every run: the first 15 hexadecimal digits of a digest."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -38,10 +41,11 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Targets are min(cap, level * weight) with the level at which they add up; it rises while more sources reach their cap.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    per = saved(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes-by-source")
+    order = ranked(per, "source").select(F.col("source").alias("s"), "position")
     weights = F.array(*[F.lit(float(w)) for w in mix.weights])
-    per = saved(per.withColumn("weight", F.get(weights, (rank - 1) % len(mix.weights))), "sources")
+    weighed = per.join(order, F.col("source").eqNullSafe(F.col("s"))).withColumn("weight", F.get(weights, (F.col("position") % len(mix.weights)).cast("int")))
+    per = saved(weighed.select("source", "source_size", "weight"), "sources")
     total = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t")).first()["t"] * mix.share
     level, seen = 0.0, -1
     while True:
@@ -72,12 +76,13 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The documents as often as the mix takes them; columns as they were."""
-    key, times, ps = free_name(docs, "mix_key"), free_name(docs, "mix_times"), free_name(docs, "mix_source")
-    chosen = plan(saved(_sized(docs), "sizes"), mix).select(F.col("source").alias(ps), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
+    p = free_name(docs, "_mix_")
+    chosen = plan(saved(_sized(docs), "sizes"), mix).select(F.col("source").alias(p + "source"), F.col("whole").alias(p + "whole"), F.col("threshold").alias(p + "threshold"))
     # one row per source: Spark broadcasts it by its measured size, and joins by shuffle beyond the limit
-    out = docs.withColumn(key, place(F.col("doc_id"), text_of())).join(saved(chosen, "plan"), F.col("source").eqNullSafe(F.col(ps)))
-    out = out.withColumn(times, F.col("_whole") + F.when(F.col(key) < F.col("_threshold"), 1).otherwise(0)).filter(F.col(times) > 0)
-    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.withColumn(p + "key", place(F.col("doc_id"), text_of())).join(saved(chosen, "plan"), F.col("source").eqNullSafe(F.col(p + "source")))
+    times = F.col(p + "whole") + F.when(F.col(p + "key") < F.col(p + "threshold"), 1).otherwise(0)
+    out = out.withColumn(p + "times", times).filter(F.col(p + "times") > 0)
+    return out.withColumn(p + "times", F.explode(F.sequence(F.lit(1), F.col(p + "times")))).select(*[quoted(c) for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ sums of these counts over every document that passes the base rules, and the ver
 
 Defined results for odd input: a null text has no words and fails the base rules; a null language is a language of its
 own; a language without a word list is judged by its character classes alone; repeated rows are judged alike; an empty
-table gives an empty table; input columns of any name are kept, the added ones give way (`free_name`).
+table gives an empty table; input columns of any name are kept, the added ones give way (`free_name`); a text of any
+length is measured whole, in one row. Five-word windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANK, free_name, saved, text_of
+from .common import BLANK, free_name, quoted, saved, text_of
 
 #: The function words whose shares are compared, by language.
 COMMON_WORDS = {
@@ -44,13 +45,9 @@ class Rules:
     #: references up to this many languages are broadcast; beyond it the join is left to Spark
     broadcast_languages: int = 2000
     #: words without a letter or digit are a class of the word histogram of their own
-    bare_class: bool = False
+    bare_class: bool = True
     #: if set, the word distance may exceed what chance alone gives at the document's length by this much at most
-    word_margin: float | None = None
-
-
-#: As `Rules`, and long texts are judged more tightly; the pipeline's. (The query op4_quality_rules follows its SQL.)
-BY_LENGTH = Rules(bare_class=True, word_margin=0.1)
+    word_margin: float | None = 0.1
 
 
 def measured(docs: DataFrame, name: str, rules: Rules = Rules()) -> DataFrame:
@@ -63,13 +60,14 @@ def measured(docs: DataFrame, name: str, rules: Rules = Rules()) -> DataFrame:
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     every = sorted({form for v in COMMON_WORDS.values() for w in v for form in (w, w.capitalize())})
     own: list[str] = []
+    prefix = free_name(docs, "_measure_")
 
     def add(df: DataFrame, **columns: Column) -> DataFrame:
-        own.extend(f"_{name}_{k}" for k in columns)
-        return df.withColumns({f"_{name}_{k}": c for k, c in columns.items()})
+        own.extend(prefix + k for k in columns)
+        return df.withColumns({prefix + k: c for k, c in columns.items()})
 
     def at(k: str) -> Column:
-        return F.col(f"_{name}_{k}")
+        return F.col(prefix + k)
 
     def count(pattern: str) -> Column:
         return (F.char_length(at("rare")) - F.char_length(F.regexp_replace(at("rare"), pattern, ""))).cast("long")
@@ -119,15 +117,14 @@ def base_failed(m: Column, rules: Rules) -> Column:
     return (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
 
 
-def references(measures: DataFrame, name: str, rules: Rules) -> DataFrame:
-    """lang, and the summed classes and common words of all documents of it that pass the base rules."""
+def references(measures: DataFrame, name: str, rules: Rules = Rules()) -> DataFrame:
+    """lang, and the summed classes, common words, words and bare words of all documents of it that pass the base rules."""
     m = F.col(name)
     total = lambda part, k: [F.coalesce(F.sum(F.get(m[part], i)), F.lit(0)).alias(f"{part}{i}") for i in range(k)]
     k = N_WORDS - 1
-    sums = measures.filter(~base_failed(m, rules)).groupBy("lang").agg(*total("classes", len(CLASSES)), *total("words", k), F.sum(m["n_words"]).alias("all"), *([F.sum(m["n_bare"]).alias("bare")] if rules.bare_class else []))
-    return sums.select(
-        F.col("lang").alias("_ref_lang"), F.array(*[f"classes{i}" for i in range(len(CLASSES))]).alias("_ref_classes"),
-        F.array(*[f"words{i}" for i in range(k)]).alias("_ref_words"), F.col("all").alias("_ref_all"), *([F.col("bare").alias("_ref_bare")] if rules.bare_class else []))
+    bare = F.sum(m["n_bare"]) if rules.bare_class else F.lit(None).cast("long")
+    sums = measures.filter(~base_failed(m, rules)).groupBy("lang").agg(*total("classes", len(CLASSES)), *total("words", k), F.sum(m["n_words"]).alias("all"), bare.alias("bare"))
+    return sums.select("lang", F.array(*[f"classes{i}" for i in range(len(CLASSES))]).alias("classes"), F.array(*[f"words{i}" for i in range(k)]).alias("words"), "all", "bare")
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -148,40 +145,45 @@ def shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda x: F.coalesce(F.try_divide(x.cast("double"), total), F.lit(0.0)))
 
 
-def judged(measures: DataFrame, name: str, rules: Rules = Rules()) -> DataFrame:
-    """measures (a saved table, as it is read twice) with base_failed, class_distance, word_distance and kept in the struct `name`."""
-    refs = saved(references(measures, name, rules), "references")
+def judged(measures: DataFrame, name: str, rules: Rules = Rules(), refs: DataFrame | None = None) -> DataFrame:
+    """measures (a saved table, as it is read twice) with base_failed, class_distance, word_distance and kept in the struct `name`.
+
+    refs: references of another table (as `references` gives them), so that verdicts stay as they are while a corpus grows.
+    """
+    refs = saved(references(measures, name, rules) if refs is None else refs, "references")
+    p = free_name(measures, "_judge_")
     small = refs.limit(rules.broadcast_languages + 1).count() <= rules.broadcast_languages
-    joined = measures.join(F.broadcast(refs) if small else refs, F.col("lang").eqNullSafe(F.col("_ref_lang")), "left")
-    m = F.col(name)
+    named = refs.select(*[F.col(c).alias(p + c) for c in refs.columns])
+    joined = measures.join(F.broadcast(named) if small else named, F.col("lang").eqNullSafe(F.col(p + "lang")), "left")
+    m, at = F.col(name), lambda c: F.col(p + c)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
-    bare, ref_bare = ([m["n_bare"]], [F.col("_ref_bare")]) if rules.bare_class else ([], [])
+    bare, ref_bare = ([m["n_bare"]], [at("bare")]) if rules.bare_class else ([], [])
     if rules.bare_class:
         # the reference's bare words count up to the document's share of them: to have fewer is no fault, however many the others have
-        some = (F.col("_ref_all") - F.col("_ref_bare")) * F.try_divide(m["n_bare"].cast("double"), m["n_words"] - m["n_bare"])
-        joined = joined.withColumns({"_ref_all": F.col("_ref_all") - F.col("_ref_bare") + F.least("_ref_bare", some), "_ref_bare": F.least("_ref_bare", some)})
+        some = (at("all") - at("bare")) * F.try_divide(m["n_bare"].cast("double"), m["n_words"] - m["n_bare"])
+        joined = joined.withColumns({p + "all": at("all") - at("bare") + F.least(at("bare"), some), p + "bare": F.least(at("bare"), some)})
     # the words outside the list are one more class
     steps = joined.withColumns({
-        "_p_words": F.concat(m["words"], F.array(*bare, sum((-x for x in bare), m["n_words"] - total(m["words"])))), "_ref_words": F.slice("_ref_words", F.lit(1), F.size(m["words"])),
-        "_p_chars": total(m["classes"]), "_q_chars": total(F.col("_ref_classes"))})
+        p + "p_words": F.concat(m["words"], F.array(*bare, sum((-x for x in bare), m["n_words"] - total(m["words"])))), p + "words": F.slice(at("words"), F.lit(1), F.size(m["words"])),
+        p + "p_chars": total(m["classes"]), p + "q_chars": total(at("classes"))})
     steps = steps.withColumns({
-        "_d_class": js_distance(shares(m["classes"], F.col("_p_chars")), shares(F.col("_ref_classes"), F.col("_q_chars"))),
-        "_d_word": js_distance(shares(F.col("_p_words"), m["n_words"]), shares(F.concat("_ref_words", F.array(*ref_bare, sum((-x for x in ref_bare), F.col("_ref_all") - total(F.col("_ref_words"))))), F.col("_ref_all")))})
+        p + "d_class": js_distance(shares(m["classes"], at("p_chars")), shares(at("classes"), at("q_chars"))),
+        p + "d_word": js_distance(shares(at("p_words"), m["n_words"]), shares(F.concat(at("words"), F.array(*ref_bare, sum((-x for x in ref_bare), at("all") - total(at("words"))))), at("all")))})
     fails = base_failed(m, rules)
-    class_d = F.when(F.col("_ref_all").isNotNull() & (F.col("_p_chars") >= rules.guard_chars), F.col("_d_class")).otherwise(0.0)
-    word_d = F.when(F.col("_ref_all").isNotNull() & (m["n_words"] >= rules.guard_words), F.col("_d_word")).otherwise(0.0)
+    class_d = F.when(at("all").isNotNull() & (at("p_chars") >= rules.guard_chars), at("d_class")).otherwise(0.0)
+    word_d = F.when(at("all").isNotNull() & (m["n_words"] >= rules.guard_words), at("d_word")).otherwise(0.0)
     word_limit = F.lit(rules.max_word_distance)
     if rules.word_margin is not None:
-        word_limit = F.least(word_limit, rules.word_margin + chance_distance(F.size("_p_words"), m["n_words"]))
-    return steps.select(*[F.col(f"`{c}`") for c in measures.columns if c != name], F.struct(
+        word_limit = F.least(word_limit, rules.word_margin + chance_distance(F.size(at("p_words")), m["n_words"]))
+    return steps.select(*[quoted(c) for c in measures.columns if c != name], F.struct(
         f"{name}.*", fails.alias("base_failed"), class_d.alias("class_distance"), word_d.alias("word_distance"),
         (~fails & (class_d <= rules.max_class_distance) & (word_d <= word_limit)).alias("kept")).alias(name))
 
 
-def quality_filter(docs: DataFrame, rules: Rules = BY_LENGTH) -> DataFrame:
+def quality_filter(docs: DataFrame, rules: Rules = Rules(), refs: DataFrame | None = None) -> DataFrame:
     """The documents that pass, with their columns as they were."""
     name = free_name(docs, "quality")
-    return judged(saved(measured(docs, name, rules), "measures"), name, rules).filter(F.col(name)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(saved(measured(docs, name, rules), "measures"), name, rules, refs).filter(F.col(name)["kept"]).select(*[quoted(c) for c in docs.columns])
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -26,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": oracles.quality_sql(),
         "op5_voronoi_knn": knn_join.ORACLE,
         "op6_secret_scan": oracles.secrets_sql(),
+        "op8_mixing": oracles.mixing_sql(),
     }
