@@ -1,5 +1,5 @@
-"""Chat formatting: a finite-state machine over roles checks the order of turns while a declarative template turns each
-conversation into text segments that carry a loss flag.
+"""Chat formatting: a finite-state machine over roles checks the order of turns, and what its transitions emit makes the
+text segments and their loss flags; states, roles and emissions are a declarative template.
 
 Everything is DataFrame functions. A conversation is one training example, so its turns meet in one row; conversations
 are spread over the cluster by a hash of their id.
@@ -7,7 +7,9 @@ are spread over the cluster by a hash of their id.
 Defined results for odd input: a null role or text counts as the empty string; a null turn sorts before all others; rows
 with equal turn are ordered by role, then text, and repeated rows stay (each is a turn); rows whose conv_id is null form
 one conversation with a null id; an empty table gives an empty table; other columns of the input are ignored. Roles that
-the template does not know use its `other` style, and the state machine then reports the conversation as out of order.
+the template does not know have no transition: the machine stays where it is, reports the conversation as out of order,
+and such a turn is learned only if its role is among `learned` and `learn_errors` is set. A text of any length is one
+segment, and a conversation's turns must fit one row (2 GB).
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ class Template:
     #: state -> {role: next state}; a role that is missing is an error, and the machine goes on from where it was
     moves: dict = field(default_factory=lambda: {"begin": {"system": "primed", "user": "asked"}, "primed": {"user": "asked"}, "asked": {"assistant": "answered"}, "answered": {"user": "asked"}})
     accepting: tuple[str, ...] = ("answered",)
+    #: whether turns of learned roles are learned where they are out of order too
+    learn_errors: bool = True
 
     def __post_init__(self):
         letters = self.letters()
@@ -61,19 +65,24 @@ def unescape(text: Column, template: Template) -> Column:
 
 
 def _machine(roles: Column, template: Template) -> Column:
-    """Run the role machine: struct(state, pos, first_error); first_error is the 0-based turn or null."""
+    """Run the role machine: struct(state, pos, error, loss); error is the 0-based first turn out of order or null, and loss
+    holds what the transitions emitted, "1" or "0" for each turn.
+    """
     begin = next(iter(template.moves))
-    table = F.create_map(*[x for state, row in template.moves.items() for role, to in row.items() for x in (F.lit(f"{state}\x00{role}"), F.lit(to))])
+    edges = [(state, role, to, role in template.learned) for state, row in template.moves.items() for role, to in row.items()]
+    table = F.create_map(*[x for state, role, to, loss in edges for x in (F.lit(f"{state}\x00{role}"), F.struct(F.lit(to).alias("to"), F.lit("1" if loss else "0").alias("loss")))])
 
     def step(acc: Column, role: Column) -> Column:
-        to = F.try_element_at(table, F.concat(acc["state"], F.lit("\x00"), role))
+        edge = F.try_element_at(table, F.concat(acc["state"], F.lit("\x00"), role))
+        stray = F.when(role.isin(*template.learned), "1").otherwise("0") if template.learn_errors else F.lit("0")
         return F.struct(
-            F.coalesce(to, acc["state"]).alias("state"),
+            F.coalesce(edge["to"], acc["state"]).alias("state"),
             (acc["pos"] + 1).alias("pos"),
-            F.coalesce(acc["error"], F.when(to.isNull(), acc["pos"])).alias("error"),
+            F.coalesce(acc["error"], F.when(edge.isNull(), acc["pos"])).alias("error"),
+            F.concat(acc["loss"], F.coalesce(edge["loss"], stray)).alias("loss"),
         )
 
-    zero = F.struct(F.lit(begin).alias("state"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("long").alias("error"))
+    zero = F.struct(F.lit(begin).alias("state"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("long").alias("error"), F.lit("").alias("loss"))
     return F.aggregate(roles, zero, step)
 
 
@@ -83,15 +92,16 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
         F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("turn"), "role", "text"))).alias("turns"))
 
-    def pieces(t: Column) -> Column:
+    def pieces(t: Column, loss: Column) -> Column:
         head = F.concat(F.lit(template.start), _named(t["role"], template), F.lit(template.after_role))
         return F.array(
             F.struct(head.alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(t["text"], template).alias("text"), t["role"].isin(*template.learned).alias("loss")),
+            F.struct(escape(t["text"], template).alias("text"), (loss == "1").alias("loss")),
             F.struct(F.lit(template.end).alias("text"), F.lit(False).alias("loss")),
         )
 
-    out = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _machine(F.transform("turns", lambda t: t["role"]), template).alias("m"), F.flatten(F.transform("turns", pieces)).alias("segments"))
+    run = chats.select("conv_id", "turns", F.size("turns").cast("long").alias("n_turns"), _machine(F.transform("turns", lambda t: t["role"]), template).alias("m"))
+    out = run.withColumn("segments", F.flatten(F.zip_with("turns", F.split("m.loss", ""), pieces)))
     return out.select(
         "conv_id", "n_turns",
         (F.col("m.error").isNull() & F.col("m.state").isin(*template.accepting)).alias("order_ok"),
@@ -101,9 +111,7 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
 
 
 def read_turns(formatted: Column, template: Template = Template()) -> Column:
-    """The turns back from a formatted text: array<struct<role, text>>. Controls inside texts are escaped, so a plain split finds the turns.
-
-    """
+    """The turns back from a formatted text: array<struct<role, text>>. Controls inside texts are escaped, so a plain split finds the turns."""
     parts = F.split(formatted, _literal(template.start), -1)
     found = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     cut = len(template.after_role)
@@ -117,9 +125,10 @@ def read_turns(formatted: Column, template: Template = Template()) -> Column:
     return F.transform(found, turn)
 
 
-def learned_text(segments: Column, template: Template = Template()) -> Column:
-    """All text under the loss mask in order, unescaped, with nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
+def learned_text(said: Column, template: Template = Template()) -> Column:
+    """All text under the loss mask in order, with nothing between, of turns read back from a formatted text: the machine runs over their roles once more."""
+    flags = F.split(_machine(F.transform(said, lambda t: t["role"]), template)["loss"], "")
+    return F.array_join(F.zip_with(said, flags, lambda t, loss: F.when(loss == "1", t["text"])), "")
 
 
 def _named(role: Column, template: Template) -> Column:
@@ -138,7 +147,7 @@ def op2_chat_formatting(spark, sf_dir: str) -> DataFrame:
         F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(sample).alias("text"))
     chats = format_chats(turns.unionByName(extra))
-    back = chats.withColumn("said", read_turns(F.col("formatted"))).withColumn("learned", learned_text(F.col("segments")))
+    back = chats.withColumn("said", read_turns(F.col("formatted"))).withColumn("learned", learned_text(F.col("said")))
     return back.select(
         "conv_id", F.size("said").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
