@@ -5,12 +5,15 @@ The input of a word is a learned vector (words of the training sample; one vecto
 its character trigrams. Training sees labels of whole texts only: each epoch scores all windows of a sample text, and its
 highest window stands for it. Learned vectors begin with the log-odds of their word.
 
-The training sample is bounded (`toxic_rows` + `clean_rows` labelled texts of smallest hash) and trained on the driver;
-scoring runs in the tasks, in chunks of bounded size.
+Windows begin every `stride` words, half a window, so each passage of up to 21 words lies whole in one. The training
+sample is bounded (`toxic_rows` + `clean_rows` labelled texts of smallest hash, without those of more than `longest_text`
+characters) and trained on the driver; scoring runs in the tasks, in chunks of bounded size.
 
 Defined results for odd input: a null or empty text gets the network's score of no words at all; labels that are null take
-no part, nor do labels of unknown documents; a document labelled twice counts twice; an empty table gives an empty table;
-without labels of both classes every score is 0; input columns other than doc_id and text are ignored.
+no part, nor do labels of unknown documents or of documents without an id; a label that is there twice counts once (one
+of each class: as both), and where rows share an id the least of their texts is learned; equal texts get equal scores; a
+text of any length is scored whole; an empty table gives an empty table; without labels of both classes every score is
+0; input columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +22,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import text_of
 from .shingles import in_chunks
 
 _WORD = re.compile(r"\w+")
@@ -33,7 +39,7 @@ _f = np.float32
 @dataclass(frozen=True)
 class Network:
     window: int = 40
-    stride: int = 30
+    stride: int = 20
     hidden: int = 12
     word_dims: int = 8
     char_dims: int = 16
@@ -43,6 +49,9 @@ class Network:
     least_texts: int = 5
     toxic_rows: int = 1500
     clean_rows: int = 3000
+    longest_text: int = 200_000
+    #: distinct words whose projections a worker keeps; beyond it they start anew
+    cached_words: int = 100_000
     #: passes over the sample; small samples get more, in smaller batches, until there were `least_steps`
     epochs: int = 10
     least_steps: int = 500
@@ -56,9 +65,27 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+@lru_cache(maxsize=4)
+def _trigram_table(seed: int, trigrams: int, dims: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(trigrams, dims)).astype(_f)
+
+
+class _Words(dict):
+    """word -> number, in order of first use; `new` lists the words that came since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 def char_features(words: list[str], how: Network) -> np.ndarray:
     """The mean of fixed random vectors of each word's character trigrams, with marks for its ends."""
-    table = np.random.default_rng(how.seed).normal(size=(how.trigrams, how.char_dims)).astype(_f)
+    table = _trigram_table(how.seed, how.trigrams, how.char_dims)
     if not words:
         return np.zeros((0, how.char_dims), _f)
     data = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
@@ -192,17 +219,22 @@ class Model:
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Scores of texts; each distinct word is projected once."""
+        """Scores of texts; a word is projected when it first comes up."""
+        how = self.how
+        if getattr(self, "_known", None) is None or len(self._known) > how.cached_words:
+            self._known, self._table = _Words(), np.zeros((0, 6 * how.hidden), _f)
+        known = self._known
         listed = [words_of(t) for t in texts]
-        known: dict[str, int] = {}
-        at = np.array([known.setdefault(w, len(known)) for ws in listed for w in ws], dtype=np.int64)
-        own = list(known)
-        ids = np.array([self.vocabulary.get(w, 0) for w in own], dtype=np.int64)
-        table = self.project(ids, char_features(own, self.how)) if own else np.zeros((1, 6 * self.how.hidden), _f)
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(listed)), dtype=np.int64)
+        if known.new:
+            ids = np.array([self.vocabulary.get(w, 0) for w in known.new], dtype=np.int64)
+            self._table = np.concatenate([self._table, self.project(ids, char_features(known.new, how))])
+            known.new = []
+        table = self._table if len(self._table) else np.zeros((1, 6 * how.hidden), _f)
         cuts, first, base = [], [], 0
         for ws in listed:
             first.append(len(cuts))
-            cuts += [(base + a, base + b) for a, b in windows(len(ws), self.how)]
+            cuts += [(base + a, base + b) for a, b in windows(len(ws), how)]
             base += len(ws)
         logits = self.window_logits(table, at, cuts)
         return _sigmoid(np.maximum.reduceat(logits, first)).astype(np.float64) if texts else np.zeros(0)
@@ -260,12 +292,13 @@ def train(texts: list[str], labels: list[int], how: Network = Network()) -> Mode
 
 def sample(docs: DataFrame, labels: DataFrame, how: Network) -> tuple[list[str], list[int]]:
     """The bounded training sample: texts and labels; rows of smallest hash of each class."""
-    known = labels.filter(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
     order = F.xxhash64(F.lit(how.seed), F.col("doc_id"))
     picked = known.filter("toxic = 1").orderBy(order, "doc_id").limit(how.toxic_rows).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(how.clean_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or "", r["toxic"]))
-    return [r["text"] or "" for r in rows], [r["toxic"] for r in rows]
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").filter(F.char_length("text") <= how.longest_text)
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
+    return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
 def scored(docs: DataFrame, labels: DataFrame, how: Network = Network()) -> DataFrame:
