@@ -52,7 +52,7 @@ def test_word_lists(spark, docs):
     kept = quality_rules.quality_filter(both)
     assert before > 0 and kept.filter(planted).count() == 0
     assert kept.join(clean.select("doc_id"), "doc_id", "left_semi").count() == before
-    assert quality_rules.quality_filter(both, quality_rules.Rules()).filter(planted).count() > 0
+    assert quality_rules.quality_filter(both, quality_rules.Rules(bare_class=False, word_margin=None)).filter(planted).count() > 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -99,31 +99,64 @@ def test_chats(spark):
     assert chat_format.format_chats(turns.limit(0)).count() == 0
 
 
-def test_parity_join(docs, odd):
-    table = docs.unionByName(odd)
-    pdf = table.filter("doc_id is not null").toPandas()
-    sets = {}
-    for i, t in zip(pdf.doc_id, pdf.text):
+def plain_components(texts):
+    """(set size, smallest index in the component) of each text, by comparing all pairs."""
+    sets = []
+    for t in texts:
         w = (t or "").encode().lower().split()
-        sets[i] = sets.get(i, frozenset()) or frozenset(tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1 if w else 0)))
-    up = {i: i for i in sets}
+        sets.append(frozenset(tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1 if w else 0))))
+    up = list(range(len(sets)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    items = list(sets.items())
-    for n, (i, a) in enumerate(items):
-        for j, b in items[:n]:
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 up[y] = x
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.jaccard_components(table).filter("doc_id is not null").collect()}
-    # documents 0 to 199 share ids with the odd rows; only ids that stand for one text are compared
-    single = [i for i, n in Counter(pdf.doc_id).items() if n == 1]
-    assert {i: got[i] for i in single if root(i) in single} == {i: (len(sets[i]), root(i)) for i in single if root(i) in single}
-    assert parity_join.jaccard_components(odd.limit(0)).count() == 0
+    return [(len(s), root(i)) for i, s in enumerate(sets)]
+
+
+def test_parity_join(docs, odd):
+    """Every row against all pairs, rows without an id and rows that share one included; and the rows that keep_one keeps."""
+    table = docs.unionByName(odd).withColumn("_copy_", F.lit("own"))
+    rows = table.collect()
+    found = plain_components([r["text"] for r in rows])
+    names = defaultdict(set)
+    for r, (_, c) in zip(rows, found):
+        names[c].add(r["doc_id"])
+    want = Counter((r["doc_id"], n, min((i for i in names[c] if i is not None), default=None)) for r, (n, c) in zip(rows, found))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in parity_join.jaccard_components(table).collect())
+    assert got == want
+    kept = parity_join.keep_one(table)
+    assert kept.columns == table.columns and {r["_copy_"] for r in kept.collect()} == {"own"}
+    # one row a component; texts without shingles are components each
+    assert kept.count() == len({c for n, c in found if n}) + sum(n == 0 for n, _ in found)
+    assert parity_join.jaccard_components(odd.limit(0)).count() == 0 and parity_join.keep_one(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("common", [0, 2, 8, 64])
+def test_parity_join_hot(spark, common):
+    """Passages that up to a hundred texts hold, in texts of 20 to 80 shingles whose rests differ: no link is lost, whatever counts as common and whichever lanes are hot."""
+    rng, rows = np.random.default_rng(common), []
+    passages = [[f"p{i}x{k}" for k in range(20)] for i in range(3)]
+    for i in range(300):
+        w = [x for p in passages if rng.random() < 0.6 for x in p] + [f"u{i}x{k}" for k in range(rng.integers(4, 25))]
+        rows.append(" ".join(w))
+        if i % 6 == 0:
+            cut = rng.integers(0, 4)
+            rows.append(" ".join(w[cut:] + [f"v{i}x{k}" for k in range(rng.integers(0, 10))]))
+    # 30 of 40 shingles in common, just enough, all of them in passages of many texts
+    pair = [f"q{k}" for k in range(34)]
+    rows += [" ".join(pair + ["end"]), " ".join(pair + [f"z{k}" for k in range(9)])] + [" ".join(pair[:20] + [f"f{i}x{k}" for k in range(30)] + pair[20:]) for i in range(80)]
+    rows = rows[::-1]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    how = parity_join.Join(common=common, hot_nodes=2, hot_sample=4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.jaccard_components(table, how).collect()}
+    assert got == dict(enumerate(plain_components(rows)))
 
 
 def test_parity_join_common(spark):
