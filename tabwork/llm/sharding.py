@@ -20,7 +20,7 @@ import heapq
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import ranked, saved, text_of
 
@@ -61,21 +61,32 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return saved(groups, "groups")
 
 
-def _deal(heavy: list[tuple[int, int]], leaves: int, leaf: float) -> tuple[list[tuple[int, int, int, int]], list[float]]:
-    """(group, part, parts, shard) for the heavy groups, and what each leaf holds then."""
-    pieces = []
-    for group, size in heavy:
-        parts = max(1, math.ceil(size / leaf))
-        pieces += [(size / parts, group, part, parts) for part in range(parts)]
-    load = [(0.0, shard) for shard in range(leaves)]
-    dealt = []
-    for size, group, part, parts in sorted(pieces, key=lambda p: (-p[0], p[1:])):
-        held, shard = heapq.heappop(load)
-        heapq.heappush(load, (held + size, shard))
+def _part(parts) -> Column:
+    """The part of a row of a heavy group, by a hash of the row."""
+    return F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id"), F.col("row")), parts).cast("int")
+
+
+def _pieces(rows: DataFrame, heavy: list[tuple[int, int]], leaf: float) -> list[tuple[int, int, int, int]]:
+    """(group, part, parts, bytes) of the heavy groups; a group larger than a leaf is cut by a hash of its rows, and the bytes of its parts are counted."""
+    whole = [(group, 0, 1, size) for group, size in heavy if size <= leaf]
+    cut = [(group, math.ceil(size / leaf)) for group, size in heavy if size > leaf]
+    if not cut:
+        return whole
+    # at most one row per leaf
+    inside = rows.join(F.broadcast(rows.sparkSession.createDataFrame(cut, "hg long, parts int")), F.col("group") == F.col("hg"))
+    counted = inside.groupBy("group", "parts", _part(F.col("parts")).alias("part")).agg(F.sum("size").alias("bytes")).collect()
+    return whole + [(r["group"], r["part"], r["parts"], r["bytes"]) for r in counted]
+
+
+def _deal(pieces: list[tuple[int, int, int, int]], leaves: int) -> tuple[list[tuple[int, int, int, int]], list[float]]:
+    """(group, part, parts, shard) for the pieces, largest first to the emptiest leaf, and what each leaf holds then."""
+    load = [(0, shard) for shard in range(leaves)]
+    dealt, held = [], [0.0] * leaves
+    for group, part, parts, size in sorted(pieces, key=lambda p: (-p[3], p[:2])):
+        full, shard = heapq.heappop(load)
+        heapq.heappush(load, (full + size, shard))
+        held[shard] = float(full + size)
         dealt.append((group, part, parts, shard))
-    held = [0.0] * leaves
-    for size, shard in load:
-        held[shard] = size
     return dealt, held
 
 
@@ -136,7 +147,7 @@ def sharded(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[f(d).alias(f"{d}{k}") for d in DIMS for k, f in ((0, F.min), (1, F.max))]).first()
     leaf = max(total["bytes"] / tree.leaves, 1.0)
     heavy = [(r["group"], r["bytes"]) for r in groups.filter(F.col("bytes") > tree.heavy_share * leaf).select("group", "bytes").collect()]
-    dealt, held = _deal(heavy, tree.leaves, leaf)
+    dealt, held = _deal(_pieces(rows, heavy, leaf), tree.leaves)
     goal = [max(leaf - h, 0.0) for h in held]
     points = groups.filter(F.col("bytes") <= tree.heavy_share * leaf).select("group", "bytes", *DIMS, F.lit(1).alias("node"))
     span = {d: (total[f"{d}0"] or 0.0, total[f"{d}1"] or 0.0) for d in DIMS}
@@ -160,7 +171,7 @@ def _placed(rows: DataFrame, light: DataFrame, dealt: list, spark) -> DataFrame:
     sizes = given.groupBy("hg").agg(F.max("parts").alias("parts"))
     # the heavy groups' rows join with a table of bounded size; the rest has no hot key left
     marked = rows.join(F.broadcast(sizes), F.col("group") == F.col("hg"), "left")
-    hot = marked.filter(F.col("hg").isNotNull()).withColumn("p", F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id"), F.col("row")), F.col("parts")).cast("int")).drop("hg", "parts")
+    hot = marked.filter(F.col("hg").isNotNull()).withColumn("p", _part(F.col("parts"))).drop("hg", "parts")
     hot = hot.join(F.broadcast(given.drop("parts")), (F.col("group") == F.col("hg")) & (F.col("p") == F.col("part"))).select(*columns)
     return marked.filter(F.col("hg").isNull()).select("doc_id", "row", "size", "text_crc32", "group").join(light, "group").select(*columns).unionByName(hot)
 
