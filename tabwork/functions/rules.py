@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+#: what a text is stripped of at its ends: every blank character
+BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def stripped(c) -> Column:
+    return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(BLANKS))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """Columns of a numeric type; booleans are not numeric."""
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]

@@ -13,19 +13,23 @@ FUNCS = {
 DEFAULT = ("sum", "mean", "max", "min")
 
 
-def _one(column: str, func: str) -> Column:
+def _one(column: str, func: str, accuracy: int | None = None) -> Column:
     if func not in FUNCS:
         raise ValueError(f"func must be one of {tuple(FUNCS)}")
-    return FUNCS[func](column).alias(f"{column}_{func}")
+    made = F.percentile_approx(column, 0.5, accuracy) if func == "median" and accuracy else FUNCS[func](column)
+    return made.alias(f"{column}_{func}")
 
 
-def aggregate(df: DataFrame, group_by: list[str] | None = None, metrics: list[dict] | None = None, value_columns: list[str] | None = None, func: str = "sum", largest_first: bool = False) -> DataFrame:
-    """metrics [{column, func}], or one func on the value columns (all numeric ones where none are named)."""
+def aggregate(df: DataFrame, group_by: list[str] | None = None, metrics: list[dict] | None = None, value_columns: list[str] | None = None, func: str = "sum", largest_first: bool = False, accuracy: int | None = None) -> DataFrame:
+    """metrics [{column, func}], or one func on the value columns (all numeric ones where none are named).
+
+    An exact median keeps the distinct values of a group in one task; with `accuracy` (as for percentile_approx) it is a sketch.
+    """
     keys = group_by or []
     wanted = [(m["column"], m.get("func") or m.get("agg")) for m in metrics] if metrics else [(c, func) for c in value_columns or [c for c in numeric_columns(df) if c not in keys]]
     wanted = list(dict.fromkeys(wanted))
     require(df, *keys, *[c for c, _ in wanted])
-    made = [_one(*w) for w in wanted]
+    made = [_one(*w, accuracy) for w in wanted]
     if not keys:
         return df.agg(*made)
     out = df.na.drop(subset=keys).groupBy(*keys).agg(*made)

@@ -95,7 +95,11 @@ def merge_same_layout(tables: list[DataFrame], keys: list[str] | None = None, la
     values = [c for c in rows.columns if c not in keys]
     if not values:
         return rows.dropDuplicates(keys)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    # rows read from files carry their place; others have the order of this run
+    order = [F.col("_row_id")] if "_row_id" in rows.columns else [F.monotonically_increasing_id()]
+    if "_row_id" in rows.columns and "source" in rows.columns:
+        order = [F.col("source"), *order]
+    rows = rows.withColumn("_at", F.struct(*order))
     numeric = [c for c in values if c in numbers]
     spread = rows.groupBy(*keys).agg(*[F.min(c).eqNullSafe(F.max(c)).alias(c) for c in numeric])
     same = spread.agg(*[F.coalesce(F.bool_and(c), F.lit(True)).alias(c) for c in numeric]).first() if numeric else {}

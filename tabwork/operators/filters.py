@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.rules import require, text_columns
+from ..functions.rules import require, stripped, text_columns
 
 COMPARE = {"gte": Column.__ge__, "lte": Column.__le__, "gt": Column.__gt__, "lt": Column.__lt__, "eq": Column.__eq__}
 BETWEEN_COLUMNS = {"col_gt": Column.__gt__, "col_lt": Column.__lt__, "col_eq": Column.__eq__}
@@ -58,7 +58,7 @@ def drop_missing(df: DataFrame) -> DataFrame:
 def blank(df: DataFrame, column: str) -> DataFrame:
     """Rows in which a column is missing or holds only what stands for missing."""
     c = F.col(column)
-    return df.filter(c.isNull() | F.trim(c.cast("string")).isin("", "nan", "None"))
+    return df.filter(c.isNull() | stripped(c.cast("string")).isin("", "nan", "None"))
 
 
 def equal_or_like(df: DataFrame, column: str, text: str) -> DataFrame:
@@ -99,16 +99,18 @@ def relative(name: str, as_of: dt.date, quarter: int | None = None) -> tuple[dt.
     return months(*spans[name])
 
 
-def date_column(df: DataFrame, hints: tuple[str, ...] = ("date", "day", "time")) -> str | None:
-    """The column to search dates in: a native one, one whose name says so, or the first text column of which half parses. Runs one job."""
+#: What the name of a date column holds.
+DATE_HINTS = ("일자", "날짜", "date", "기간", "month", "time", "년도", "연도", "월")
+
+
+def date_column(df: DataFrame, hints: tuple[str, ...] = DATE_HINTS) -> str | None:
+    """The column to search dates in: a native one, else the first text column of which half parses as dates; those whose name says so are tried first. Runs one job."""
     native = [f.name for f in df.schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
-    if native:
-        return native[0]
     texts = text_columns(df)
-    hinted = [c for c in texts if any(h in c.lower() for h in hints)]
-    if hinted or not texts:
-        return hinted[0] if hinted else None
-    rates = df.agg(*[F.avg(F.try_to_timestamp(c).isNotNull().cast("double")).alias(c) for c in texts]).first()
+    if native or not texts:
+        return native[0] if native else None
+    texts.sort(key=lambda c: not any(h in c.lower() for h in hints))
+    rates = df.agg(*[F.avg(F.try_to_timestamp(f"`{c}`").isNotNull().cast("double")).alias(c) for c in texts]).first()
     return next((c for c in texts if (rates[c] or 0) >= 0.5), None)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.rules import NUMBER, numeric_columns, text_columns, to_number
+from ..functions.rules import NUMBER, numeric_columns, stripped, text_columns, to_number
 
 #: Labels of subtotal rows.
-SUBTOTALS = ("소계", "합계", "계", "총계", "총합계", "누계", "내부흡수액")
+SUBTOTALS = ("소 계", "소계", "합 계", "합계", "계", "총계", "총 계", "내부흡수액", "소  계", "합  계")
 
 
 def header_row(cells: DataFrame, most: int = 15) -> DataFrame:
@@ -15,7 +15,7 @@ def header_row(cells: DataFrame, most: int = 15) -> DataFrame:
 
     cells: source, row, col, value (null or blank: empty).
     """
-    filled = F.col("value").isNotNull() & (F.trim("value") != "")
+    filled = F.col("value").isNotNull() & (stripped("value") != "")
     text = filled & ~F.replace("value", F.lit(","), F.lit("")).rlike(NUMBER)
     width = cells.groupBy("source").agg(F.countDistinct("col").alias("width"))
     rank = F.dense_rank().over(Window.partitionBy("source").orderBy("row"))
@@ -26,7 +26,7 @@ def header_row(cells: DataFrame, most: int = 15) -> DataFrame:
 
 def header_names(header: DataFrame) -> DataFrame:
     """source, col, name from two header rows: source, col, upper, lower (null or blank: empty)."""
-    blank = lambda c: F.when(F.trim(c) == "", None).otherwise(F.trim(c))
+    blank = lambda c: F.when(stripped(c) == "", None).otherwise(stripped(c))
     by_col = Window.partitionBy("source").orderBy("col")
     h = header.select("source", "col", blank("upper").alias("u"), blank("lower").alias("l"))
     facts = h.groupBy("source").agg(F.count("l").alias("names"), F.count(F.when(F.col("u").isNull(), 1)).alias("blanks"), F.count(F.when(F.col("l").rlike(NUMBER), 1)).alias("numbers"))
@@ -42,6 +42,15 @@ def header_names(header: DataFrame) -> DataFrame:
     return named.select("source", "col", F.when(repeat > 0, F.concat_ws("_", "name", repeat.cast("string"))).otherwise(F.col("name")).alias("name"))
 
 
+def named_table(cells: DataFrame, most: int = 15) -> DataFrame:
+    """source, row, name, value: the cells below each source's header row, each under the name of its column; cells as for `header_row`."""
+    header = header_row(cells, most)
+    titles = cells.join(header, "source").filter(F.col("row") == F.col("header_row")).select("source", "col", F.lit(None).cast("string").alias("lower"), F.col("value").alias("upper"))
+    names = header_names(titles)
+    body = cells.join(header, "source").filter(F.col("row") > F.col("header_row"))
+    return body.join(names, ["source", "col"]).select("source", "row", "name", "value")
+
+
 def fill_down(df: DataFrame, source: str, order: str, anchor: str | None = None, columns: list[str] | None = None, within_group: bool = False) -> DataFrame:
     """Merged cells: the anchor is filled from above; other text columns only from earlier continuation rows (rows whose
     anchor was blank), or with within_group from any earlier row of the anchor's group.
@@ -49,7 +58,7 @@ def fill_down(df: DataFrame, source: str, order: str, anchor: str | None = None,
     texts = [c for c in text_columns(df) if c not in (source, order)]
     anchor = anchor or texts[0]
     others = columns if columns is not None else [c for c in texts if c != anchor]
-    empty = lambda c: F.when(F.trim(c) == "", None).otherwise(F.col(c))
+    empty = lambda c: F.when(stripped(c) == "", None).otherwise(F.col(c))
     df = df.withColumns({c: empty(c) for c in (anchor, *others)}).withColumn("_more", F.col(anchor).isNull())
     group = F.count(anchor).over(Window.partitionBy(source).orderBy(order))
     df = df.withColumn("_group", group)
@@ -63,7 +72,7 @@ def fill_down(df: DataFrame, source: str, order: str, anchor: str | None = None,
 def is_subtotal(columns: list[str], labels: tuple[str, ...] | None = None) -> Column:
     hit = F.lit(False)
     for c in columns:
-        hit = hit | F.coalesce(F.trim(c).isin(*(labels or SUBTOTALS)), F.lit(False))
+        hit = hit | F.coalesce(stripped(c).isin(*(labels or SUBTOTALS)), F.lit(False))
     return hit
 
 
@@ -76,7 +85,7 @@ def label_subtotals(df: DataFrame, anchor: str, continued: Column, labels: tuple
     """The anchor of a continuation row takes the row's subtotal label; the last text column that has one wins."""
     found = F.lit(None).cast("string")
     for c in [c for c in text_columns(df) if c != anchor]:
-        found = F.when(F.trim(c).isin(*(labels or SUBTOTALS)), F.trim(c)).otherwise(found)
+        found = F.when(stripped(c).isin(*(labels or SUBTOTALS)), stripped(c)).otherwise(found)
     return df.withColumn(anchor, F.when(continued, F.coalesce(found, F.col(anchor))).otherwise(F.col(anchor)))
 
 
@@ -109,7 +118,7 @@ def column_classes(df: DataFrame) -> DataFrame:
 
 def used_range(cells: DataFrame) -> DataFrame:
     """Per file and sheet the rows and columns that hold data, how many, and how densely; cells: file, sheet, row, col, value."""
-    full = F.col("value").isNotNull() & (F.trim("value") != "")
+    full = F.col("value").isNotNull() & (stripped("value") != "")
     out = cells.groupBy("file", "sheet").agg(
         F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("col").alias("first_col"), F.max("col").alias("last_col"),
         F.countDistinct(F.when(full, F.col("row"))).alias("data_rows"), F.countDistinct(F.when(full, F.col("col"))).alias("data_cols"), F.count(F.when(full, 1)).alias("filled_cells"))

@@ -6,8 +6,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rules import numeric_columns, text_columns, to_number
 
-#: What the label of a summary row looks like, in several languages.
-SUMMARY_ROW = r"(?i)^\s*(소계|합계|총계|누계|小計|合計|総計|sub-?total|grand total|total|sum|zwischensumme|gesamtsumme|summe|sous-total)\s*$"
+#: What the label of a summary row holds, in several languages; found anywhere in it, case ignored.
+SUMMARY_ROW = (
+    "(?iu)"
+    "소계|합계|총계|^계$|합 계|소 계"
+    "|合計|小計|総計|合 計|小 計"
+    "|總計|總額|总计|总额|小計|合計"
+    "|total|subtotal|grand.total|sum.total|grand.sum"
+    "|gesamt|zwischensumme|gesamtsumme"
+    "|sous.total|sous total|totale|totales|subtotal"
+)
 
 
 def _long(df: DataFrame, facts: dict[str, dict[str, Column]], whole: dict[str, Column] | None = None) -> DataFrame:

@@ -107,6 +107,13 @@ def append_new(known: DataFrame, new: DataFrame, query: str) -> DataFrame:
     return known.unionByName(named.join(known.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
 
+def examples_of(known: DataFrame, category: str, value: str, order: str, k: int = 2) -> DataFrame:
+    """The first k examples of a category by `order`; where it has none, the first k of all."""
+    hits = known.withColumn("_other", F.when(F.col(category) == value, 0).otherwise(1))
+    least = hits.agg(F.min("_other").alias("_least"))
+    return hits.join(F.broadcast(least)).filter((F.col("_other") == 0) | (F.col("_least") == 1)).orderBy(order).limit(k).drop("_other", "_least")
+
+
 def search_chats(chats: DataFrame, keywords: list[str], most: int = 5, fence: str = FENCE) -> DataFrame:
     """conv_id, query, code: user turns with any keyword whose next turn is an assistant's with a code block; newest chats first, one per beginning."""
     turn = Window.partitionBy("conv_id").orderBy("turn")

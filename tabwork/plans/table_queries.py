@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, quality as Q, select as P, text as X
 from ..sources import tables as S
+from ..functions.folders import shared_dir
 from . import pipeline as D
 
 _QUERIES: dict = {}
@@ -54,9 +56,39 @@ def s2_load(r):
     return S.load(_by_status(r), ["F", "O"]).select("o_orderkey", "o_orderstatus", "o_totalprice", "source")
 
 
-@query("SELECT o_orderstatus AS source, count(*)::BIGINT AS rows, 2::BIGINT AS columns, 0::BIGINT AS missing, 'o_orderkey:bigint, o_totalprice:double' AS types FROM orders GROUP BY 1")
+@query("""SELECT o_orderstatus AS source, count(*)::BIGINT AS rows, 5::BIGINT AS columns, 0::BIGINT AS missing,
+  'o_orderkey:bigint, o_custkey:bigint, o_totalprice:double, o_orderdate:timestamp_ntz, o_orderpriority:string' AS types FROM orders GROUP BY 1""")
 def s4_inventory(r):
-    return S.inventory(r("orders").select(F.col("o_orderstatus").alias("source"), "o_orderkey", "o_totalprice"))
+    out = S.inventory(r("orders"), "o_orderstatus").withColumnRenamed("o_orderstatus", "source")
+    return out.withColumn("types", F.regexp_replace("types", "timestamp(_ntz)?", "timestamp_ntz"))
+
+
+def _copied(r, format: str) -> str:
+    """The orders in files of a format, in a folder of their own."""
+    orders = r("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = f"{shared_dir(orders.sparkSession)}/tabwork-orders-{uuid.uuid4().hex}"
+    S.save(orders.repartition(3, "o_orderkey"), path, format)
+    return path
+
+
+_ORDERS = "o_orderkey long, o_orderstatus string, o_totalprice double"
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def s1_read_csv(r):
+    return S.read_csv(r("orders").sparkSession, _copied(r, "csv"), _ORDERS).drop("source", "_row_id")
+
+
+@query("SELECT count(*)::BIGINT AS rows, count(*)::BIGINT AS numbers FROM orders")
+def s1_row_numbers(r):
+    """Rows of a file are numbered from 1 without gaps."""
+    files = S.read_csv(r("orders").sparkSession, _copied(r, "csv"), _ORDERS).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("_row_id").alias("d"), F.max("_row_id").alias("m"), F.min("_row_id").alias("l"))
+    return files.agg(F.sum("n").alias("rows"), F.sum(F.when((F.col("d") == F.col("m")) & (F.col("l") == 1), F.col("d"))).alias("numbers"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def s5_save(r):
+    return r("orders").sparkSession.read.schema(_ORDERS).json(_copied(r, "json"))
 
 
 @query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer ORDER BY customer.c_custkey LIMIT 10")
@@ -146,6 +178,7 @@ for _n, _span, _where in (
     ("f21_from_month", O.months((1997, 5)), "o_orderdate >= DATE '1997-05-01'"), ("f21_month_to_month", O.months((1996, 11), (1997, 2)), "o_orderdate >= DATE '1996-11-01' AND o_orderdate < DATE '1997-03-01'"),
     ("f21_upto_day", O.days(None, "1995-12-31"), "o_orderdate < DATE '1996-01-01'"),
     ("f22_last_year", O.relative("last_year", dt.date(1997, 6, 30)), "o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01'"), ("f22_last_month", O.relative("last_month", dt.date(1997, 1, 15)), "o_orderdate >= DATE '1996-12-01' AND o_orderdate < DATE '1997-01-01'"),
+    ("f22_this_year", O.relative("this_year", dt.date(1996, 2, 29)), "o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01'"), ("f22_this_month", O.relative("this_month", dt.date(1996, 12, 31)), "o_orderdate >= DATE '1996-12-01' AND o_orderdate < DATE '1997-01-01'"),
     ("f22_quarter", O.relative("quarter", dt.date(1996, 1, 1), 4), "o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01'"),
 ):
     def _make(r, span=_span):
@@ -154,6 +187,19 @@ for _n, _span, _where in (
     query(f"SELECT o_orderkey FROM orders WHERE {_where}")(_make)
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1997-01-01'")
+def f24_date_column_by_name(r):
+    """Dates as text: of two columns that parse the one whose name says so; one whose name does but that holds no dates is passed over."""
+    t = r("orders").select("o_orderkey", F.lit("2001-01-01").alias("holiday_name"), F.lit("none").alias("기간"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("주문일자"))
+    return O.date_range(t, O.date_column(t), dt.date(1997, 1, 1)).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1997-01-01'")
+def f24_date_column_by_value(r):
+    t = r("orders").select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("x"))
+    return O.date_range(t, O.date_column(t), dt.date(1997, 1, 1)).select("o_orderkey")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1997-01-01'")
 def f24_date_column(r):
     t = r("orders")
@@ -254,9 +300,12 @@ def j3_join_all(r):
     return J.join_all([o.agg(F.count("*").alias("n")), o.agg(F.max("o_totalprice").alias("m")), o.agg(F.min("o_totalprice").alias("s"))], "k")
 
 
-@query(None)
+@query("""WITH o AS (SELECT column_name AS c, row_number() OVER () AS n FROM (DESCRIBE orders)), c AS (SELECT column_name AS c, row_number() OVER () AS n FROM (DESCRIBE customer))
+SELECT 'orders' AS first, 'again' AS other, (SELECT string_agg(c, ',' ORDER BY n) FROM o WHERE c <> 'o_orderstatus') AS common, (SELECT (count(*) - 1) / count(*) FROM o) AS ratio, 'o_orderstatus' AS only_first, '' AS only_other
+UNION ALL SELECT 'orders', 'customer', '', 0, (SELECT string_agg(c, ',' ORDER BY n) FROM o), (SELECT string_agg(c, ',' ORDER BY n) FROM c)""")
 def j4_overlap(r):
-    return J.overlap({"orders": r("orders"), "again": r("orders").drop("o_orderstatus"), "customer": r("customer")})
+    out = J.overlap({"orders": r("orders"), "again": r("orders").drop("o_orderstatus"), "customer": r("customer")})
+    return out.withColumns({c: F.array_join(c, ",") for c in ("common", "only_first", "only_other")})
 
 
 def _codes(r):
@@ -307,6 +356,26 @@ def u5_first_of(r):
     return J.first_of(r("events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
 
 
+@query(_MERGED)
+def u3_merge_same_layout_default(r):
+    """Without keys: all text columns are keys."""
+    return rounded(J.merge_same_layout(_codes(r)), "price", to=3)
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS segment_x, c_name AS name, n AS n, segment AS segment_y FROM customer JOIN (SELECT c_name AS k, c_custkey % 5 AS n, 'none' AS segment FROM customer) ON c_name = k")
+def j2_auto_join_two_keys(r):
+    """Two columns in common: the one with more distinct values is the key."""
+    c = r("customer")
+    left = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"))
+    return J.auto_join(left, c.select(F.lit("none").alias("segment"), F.col("c_name").alias("name"), (F.col("c_custkey") % 5).alias("n")))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region, r_name AS region_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def j5_combine_join(r):
+    """Tables of different layouts are joined on their common column."""
+    return J.combine([r("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), r("region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("region_name"))])
+
+
 # ---- grids ----
 @query("SELECT o_orderkey, length(o_orderpriority)::DOUBLE AS a, o_totalprice FROM orders")
 def n5_text_to_number(r):
@@ -330,22 +399,83 @@ def _cells(r):
 
 
 @query("""SELECT event_type AS file, 's' AS sheet, min(event_id + 1)::INTEGER AS first_row, max(event_id + 1)::INTEGER AS last_row, 1 AS first_col, 3 AS last_col, count(DISTINCT event_id)::BIGINT AS data_rows,
-  (2 + max(CASE WHEN value > 0.5 THEN 1 ELSE 0 END))::BIGINT AS data_cols, (2 * count(*) + count(*) FILTER (value > 0.5))::BIGINT AS filled_cells FROM events GROUP BY 1""")
+  (2 + max(CASE WHEN value > 0.5 THEN 1 ELSE 0 END))::BIGINT AS data_cols, (2 * count(*) + count(*) FILTER (value > 0.5))::BIGINT AS filled_cells,
+  ((max(event_id) - min(event_id) + 1) * 3)::INTEGER AS total_cells, round((2 * count(*) + count(*) FILTER (value > 0.5)) / ((max(event_id) - min(event_id) + 1) * 3), 3) AS density FROM events GROUP BY 1""")
 def n8_used_range(r):
-    return N.used_range(_cells(r)).drop("total_cells", "density")
+    return N.used_range(_cells(r))
 
 
-@query(None)
+@query("""WITH c AS (SELECT event_type AS source, (event_id + 1)::INTEGER AS row, dense_rank() OVER (PARTITION BY event_type ORDER BY event_id) AS k,
+    2 + (value > 0.5)::INT AS f, (event_id % 3 = 0)::INT AS t FROM events)
+SELECT source, max_by(row, (round(0.6 * f / 3 + 0.4 * t / f, 9), -row)) AS header_row FROM c WHERE k <= 15 GROUP BY 1""")
 def n1_header_row(r):
-    return N.header_row(_cells(r).withColumnRenamed("file", "source"))
+    cells = _cells(r).withColumnRenamed("file", "source")
+    return N.header_row(cells.withColumn("value", F.when((F.col("col") == 1) & ((F.col("row") - 1) % 3 == 0), F.concat(F.lit("name "), "value")).otherwise(F.col("value"))))
 
 
-@query(None)
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS a, CASE WHEN event_id % 2 = 0 THEN event_type END AS o FROM events)
+SELECT user_id, event_id, last_value(a IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS anchor,
+  coalesce(o, CASE WHEN a IS NULL THEN last_value(o IGNORE NULLS) OVER (PARTITION BY user_id, a IS NULL ORDER BY event_id) END) AS other FROM e""")
 def n3_fill_down(r):
     e = r("events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("anchor"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("other"))
     return N.fill_down(e, "user_id", "event_id", "anchor", ["other"])
 
 
+# ---- grids with the operators' own labels ----
+_LABELS = ("소계", "소 계", " 합  계\t", "총 계", "내부흡수액", "계", "총계(원)", "Total 2020", "Zwischensumme", "plain", "a total of", "합", "\t", " \u3000")
+_LABELLED = "(SELECT c_custkey, [" + ", ".join("'" + x + "'" for x in _LABELS) + f"][1 + c_custkey % {len(_LABELS)}] AS label FROM customer)"
+
+
+def _labelled(r):
+    return r("customer").select("c_custkey", F.get(F.array(*map(F.lit, _LABELS)), (F.col("c_custkey") % len(_LABELS)).cast("int")).alias("label"))
+
+
+@query(f"SELECT c_custkey, label FROM {_LABELLED} WHERE c_custkey % {len(_LABELS)} > 5")
+def n4_drop_subtotals_default(r):
+    return N.drop_subtotals(_labelled(r))
+
+
+@query(f"SELECT c_custkey, label, CASE WHEN c_custkey % 2 = 0 AND c_custkey % {len(_LABELS)} <= 5 THEN trim(label, ' ' || chr(9)) ELSE 'group' END AS anchor FROM {_LABELLED}")
+def n4_label_subtotals(r):
+    return N.label_subtotals(_labelled(r).withColumn("anchor", F.lit("group")), "anchor", F.col("c_custkey") % 2 == 0)
+
+
+@query(f"SELECT count(*) FILTER (c_custkey % {len(_LABELS)} IN (0, 1, 5, 6, 7, 8, 10))::BIGINT AS summary_rows FROM {_LABELLED}")
+def q5_summary_rows_default(r):
+    return Q.summary_rows(_labelled(r))
+
+
+@query(f"SELECT c_custkey FROM {_LABELLED} WHERE c_custkey % {len(_LABELS)} >= {len(_LABELS) - 2}")
+def f18_blank_default(r):
+    return O.blank(_labelled(r), "label").select("c_custkey")
+
+
+@query("""WITH h AS (SELECT p_brand AS source, p_partkey AS col, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS u, CASE WHEN p_partkey % 4 <> 0 THEN CASE WHEN p_partkey % 5 = 0 THEN p_size::VARCHAR ELSE p_type END END AS l FROM part),
+f AS (SELECT source, count(l) >= 3 AND (count(*) - count(u) >= 2 OR count(*) FILTER (try_cast(l AS DOUBLE) IS NOT NULL) < 0.3 * count(l)) AS two FROM h GROUP BY 1),
+w AS (SELECT *, last_value(u IGNORE NULLS) OVER (PARTITION BY source ORDER BY col) AS p, count(u) OVER (PARTITION BY source ORDER BY col) AS run FROM h JOIN f USING (source)),
+n AS (SELECT source, col, CASE WHEN two THEN coalesce(nullif(concat_ws('_', p, l), ''), 'col_' || col) ELSE coalesce(u, p || '_' || (row_number() OVER (PARTITION BY source, run ORDER BY col) - 1), 'col_' || col) END AS name FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY col) - 1 AS again FROM n)
+SELECT source, col, CASE WHEN again > 0 THEN name || '_' || again ELSE name END AS name FROM k""")
+def n2_header_names(r):
+    k = F.col("p_partkey")
+    return N.header_names(r("part").select(F.col("p_brand").alias("source"), k.alias("col"), F.when(k % 3 == 0, F.col("p_type")).alias("upper"), F.when(k % 4 != 0, F.when(k % 5 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_type"))).alias("lower")))
+
+
+@query("""SELECT event_type AS source, (event_id + 1)::INTEGER AS row, x.name, x.value FROM (
+  SELECT *, min(event_id) OVER (PARTITION BY event_type) AS head FROM events) e, LATERAL (SELECT unnest(['event', 'user']) AS name, unnest([event_id::VARCHAR, user_id::VARCHAR]) AS value) x WHERE event_id > head""")
+def n1_named_table(r):
+    """The first row of each type holds names, the others their values."""
+    cells = _cells(r).withColumnRenamed("file", "source").filter("col < 3")
+    head = cells.groupBy("source").agg(F.min("row").alias("head"))
+    name = F.when(F.col("col") == 1, "event").otherwise("user")
+    return N.named_table(cells.join(head, "source").withColumn("value", F.when(F.col("row") == F.col("head"), name).otherwise(F.col("value"))).drop("head"))
+
+
+@query("SELECT column_name AS column, CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' ELSE 'key' END AS kind FROM (DESCRIBE orders)")
+def n7_column_classes(r):
+    return N.column_classes(r("orders"))
+
+
 # ---- quality ----
 @query(f"""SELECT 'c_custkey' AS column, 0::BIGINT AS missing, 0.0::DOUBLE AS missing_percent, count(*)::BIGINT AS data_count FROM customer
 UNION ALL SELECT 'nation', (count(*) - count(nation))::BIGINT, round((count(*) - count(nation)) * 100.0 / count(*), 2)::DOUBLE, count(nation)::BIGINT FROM ({_REGIONS})""")
@@ -378,12 +508,13 @@ def _out(factor: float, outer: str) -> str:
     return f"WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT 'value' AS column, {outer} count(*) FILTER (b > a AND (value < a - {factor} * (b - a) OR value > b + {factor} * (b - a)))::BIGINT AS outliers FROM events, q"
 
 
-@query(_out(3, ""))
+@query(_out(3, "round(any_value(a - 3 * (b - a)), 4) AS low, round(any_value(b + 3 * (b - a)), 4) AS high,"))
 def q6_outliers(r):
-    return Q.outliers(r("events"), columns=["value"]).select("column", "outliers")
+    return rounded(Q.outliers(r("events"), columns=["value"]), "low", "high")
 
 
-@query(None)
+@query("""WITH v AS (SELECT CASE WHEN event_id % 2 = 0 THEN event_type ELSE user_id::VARCHAR END AS s FROM events ORDER BY event_id LIMIT 200)
+SELECT 's' AS column, count(*)::BIGINT AS n, avg((try_cast(s AS DOUBLE) IS NOT NULL)::INT) AS share FROM v HAVING count(*) >= 4""")
 def q7_mixed_types(r):
     return Q.mixed_types(r("events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.col("user_id").cast("string")).alias("s")), "event_id")
 
@@ -393,9 +524,20 @@ def q8_constants(r):
     return Q.constants(r("part").select("p_partkey", "p_size", F.lit("x").alias("one")))
 
 
-@query(None)
+@query("""WITH l AS (SELECT c_custkey, c_name, ['소계', 'plain', 'a total of', 'x'][1 + c_custkey % 4] AS label FROM customer), n AS (SELECT count(*) AS n FROM customer),
+g AS (SELECT count(*) FILTER (c_custkey % 3 = 0) AS k FROM customer), h AS (SELECT count(*) FILTER (label IN ('소계', 'a total of')) AS k FROM l),
+m AS (SELECT avg((c_custkey % 2 = 0)::INT) AS s FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 200)),
+t AS (SELECT count(*) FILTER (c_custkey % 50 = 0) AS k FROM customer)
+SELECT 'missing' AS rule, 'gap' AS column, round((n - k) * 100.0 / n, 2)::DOUBLE AS value, printf('gap: %.1f%% missing', round((n - k) * 100.0 / n, 2)::DOUBLE) AS message FROM n, g
+UNION ALL SELECT 'summary_rows', NULL, k::DOUBLE, k || ' summary rows' FROM h
+UNION ALL SELECT 'constant', 'one', 1, 'one: one value only'
+UNION ALL SELECT 'outliers', 'far', k::DOUBLE, 'far: ' || k || ' outliers' FROM t
+UNION ALL SELECT 'mixed', 'm', s, 'm: text and numbers' FROM m""")
 def q9_diagnosis(r):
-    return Q.diagnosis(r("events").drop("props"), "event_id")
+    c, k = r("customer"), F.col("c_custkey")
+    return rounded(Q.diagnosis(c.select(
+        k, F.when(k % 3 == 0, F.col("c_name")).alias("gap"), F.lit("x").alias("one"), F.get(F.array(*map(F.lit, ("소계", "plain", "a total of", "x"))), (k % 4).cast("int")).alias("label"),
+        F.when(k % 50 == 0, 1e9 + k).otherwise(k % 7).alias("far"), F.when(k % 2 == 0, k.cast("string")).otherwise(F.col("c_name")).alias("m")), "c_custkey"), "value")
 
 
 @query("SELECT o_orderstatus, 'o_totalprice' AS column, round(min(o_totalprice), 2) AS min, round(avg(o_totalprice), 2) AS mean, round(max(o_totalprice), 2) AS max FROM orders GROUP BY 1")
@@ -408,7 +550,7 @@ def q11_text_stats(r):
     return Q.text_stats(r("part"), ["p_brand"])
 
 
-@query(None)
+@query("""SELECT 'p' AS column, least(100, count(*))::BIGINT AS n, 1.0::DOUBLE AS share FROM orders""")
 def q12_number_like(r):
     return Q.number_like(r("orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("string").alias("p")), "o_orderkey")
 
@@ -449,17 +591,17 @@ def c3_pie(r):
     return C.pie(r("customer"), "c_custkey", "c_acctbal")
 
 
-@query("SELECT count(*)::BIGINT AS n, round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 4) AS intercept, min(p_size)::DOUBLE AS x0, max(p_size)::DOUBLE AS x1 FROM part")
+@query("SELECT count(*)::BIGINT AS n, round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 4) AS intercept, min(p_size)::DOUBLE AS x0, max(p_size)::DOUBLE AS x1, round(regr_slope(p_retailprice, p_size) * min(p_size) + regr_intercept(p_retailprice, p_size), 4) AS y0, round(regr_slope(p_retailprice, p_size) * max(p_size) + regr_intercept(p_retailprice, p_size), 4) AS y1 FROM part")
 def c4_trend(r):
-    return rounded(rounded(C.trend(r("part"), "p_size", "p_retailprice").drop("y0", "y1"), "intercept"), "slope", to=6)
+    return rounded(rounded(C.trend(r("part"), "p_size", "p_retailprice"), "intercept", "y0", "y1"), "slope", to=6)
 
 
 @query("""WITH f AS (SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS iqr FROM orders),
 w AS (SELECT *, CASE WHEN iqr > 0 THEN least(2 * iqr / pow(n, 1.0 / 3), (hi - lo) / (log2(n) + 1)) ELSE (hi - lo) / (log2(n) + 1) END AS w FROM f),
 b AS (SELECT *, greatest(ceil((hi - lo) / w), 1)::BIGINT AS bins FROM w)
-SELECT k AS bin, count(o_totalprice)::BIGINT AS count FROM b, unnest(range(bins)) AS t(k) LEFT JOIN (SELECT o_totalprice, least(floor((o_totalprice - lo) / ((hi - lo) / bins)), bins - 1)::BIGINT AS p FROM orders, b) ON p = k GROUP BY k""")
+SELECT k AS bin, round(any_value(lo + k * ((hi - lo) / bins)), 3) AS start, round(any_value(lo + (k + 1) * ((hi - lo) / bins)), 3) AS end, count(o_totalprice)::BIGINT AS count FROM b, unnest(range(bins)) AS t(k) LEFT JOIN (SELECT o_totalprice, least(floor((o_totalprice - lo) / ((hi - lo) / bins)), bins - 1)::BIGINT AS p FROM orders, b) ON p = k GROUP BY k""")
 def c5_histogram(r):
-    return C.histogram(r("orders"), "o_totalprice").select("bin", "count")
+    return rounded(C.histogram(r("orders"), "o_totalprice"), "start", "end", to=3)
 
 
 @query("""WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, median(value) AS m, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1)
@@ -469,6 +611,19 @@ def c6_box(r):
     return rounded(C.box(r("events"), "value", "event_type"), "q1", "median", "q3", "low", "high")
 
 
+@query("""WITH v AS (SELECT 'p_size' AS group, p_size::DOUBLE AS v FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part),
+q AS (SELECT group, quantile_cont(v, 0.25) AS a, median(v) AS m, quantile_cont(v, 0.75) AS b FROM v GROUP BY 1)
+SELECT group, count(*)::BIGINT AS n, round(any_value(a), 4) AS q1, round(any_value(m), 4) AS median, round(any_value(b), 4) AS q3, round(min(v) FILTER (v >= a - 1.5 * (b - a)), 4) AS low, round(max(v) FILTER (v <= b + 1.5 * (b - a)), 4) AS high,
+  count(*) FILTER (v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a))::BIGINT AS outliers FROM v JOIN q USING (group) GROUP BY 1""".replace("group,", '"group",').replace("AS group", 'AS "group"').replace("USING (group)", 'USING ("group")'))
+def c6_box_columns(r):
+    return rounded(C.box_columns(r("part"), ["p_size", "p_retailprice"]), "q1", "median", "q3", "low", "high")
+
+
+@query("SELECT p_size, p_retailprice FROM part")
+def c4_scatter(r):
+    return C.scatter(r("part"), "p_size", "p_retailprice")
+
+
 @query("SELECT o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice_sum FROM orders GROUP BY 1")
 def c7_category_totals(r):
     return rounded(C.category_totals(r("orders"), "o_orderpriority", "o_totalprice"), "o_totalprice_sum", to=2)
@@ -491,17 +646,35 @@ def t2_similar_texts(r):
 
 
 @query("""WITH v AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query, c.vec_id AS match, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) + CASE WHEN q.label = c.label THEN 0.1 ELSE 0 END AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+s AS (SELECT q.vec_id AS query, c.vec_id AS match, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) + CASE WHEN q.label = c.label THEN 0.1 ELSE 0 END AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query, rank, match, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, match)::INTEGER AS rank FROM s) WHERE rank <= 2""")
 def t3_similar_vectors(r):
     e = r("embeddings")
-    return rounded(X.similar_vectors(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 2, "label"), "score", to=6)
+    return rounded(X.similar_vectors(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 2, "label"), "score", to=6)
 
 
-@query(_SQL["t3_similar_vectors"].replace("% 100", "% 20"))
+@query(_SQL["t3_similar_vectors"].replace(" + CASE WHEN q.label = c.label THEN 0.1 ELSE 0 END", "").replace("rank <= 2", "rank <= 5"))
 def t3_similar_vectors_20(r):
+    """Five neighbours by cosine alone."""
     e = r("embeddings")
-    return rounded(X.similar_vectors(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 2, "label"), "score", to=6)
+    return rounded(X.similar_vectors(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5), "score", to=6)
+
+
+@query("""WITH b AS (SELECT min(text) AS text, 'custom_' || substr(md5(text), 1, 8) AS id FROM benchmark GROUP BY 2) SELECT id, text FROM b""")
+def t4_append_new_rows(r):
+    b = r("benchmark").select("text")
+    known = b.filter(F.length("text") % 2 == 0).select(F.concat(F.lit("custom_"), F.substring(F.md5("text"), 1, 8)).alias("id"), "text").dropDuplicates(["id"])
+    return X.append_new(known, b, "text").select("id", "text")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 5")
+def t4_examples_of(r):
+    return X.examples_of(r("documents").select("doc_id", "source"), "source", "src3", "doc_id", 5)
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 5")
+def t4_examples_of_none(r):
+    return X.examples_of(r("documents").select("doc_id", "source"), "source", "no such source", "doc_id", 5)
 
 
 @query("SELECT count(*)::BIGINT AS rows FROM (SELECT DISTINCT 'custom_' || substr(md5(text), 1, 8) FROM benchmark)")
@@ -539,7 +712,7 @@ def t9_classify(r):
     return X.classify(r("documents"), "text", {"en": ["the", "and"], "de": ["der", "und"]}, "other").select("doc_id", "intent", "hits")
 
 
-@query(None)
+@query("""SELECT conv_id, turn, role || chr(10) AS code, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS said FROM conversations""")
 def t10_code_block(r):
     c = r("conversations").withColumn("text", F.concat("text", F.lit("\n```python\n"), F.col("role"), F.lit("\n```")))
     return X.code_block(c, "text").select("conv_id", "turn", "code", "said")
@@ -570,3 +743,15 @@ def d1_pipeline(r):
     steps = [{"op": "load", "files": ["F"]}, {"op": "filter", "column": "o_totalprice", "operator": "gt", "value": 1000}, {"op": "calculate", "left": "o_totalprice", "operator": "subtract", "right": 1000, "name": "net"},
              {"op": "aggregate", "group_by": ["o_orderpriority"], "metrics": [{"column": "net", "func": "sum"}]}, {"op": "sort", "column": "net_sum", "direction": "desc"}]
     return rounded(D.run(steps, _by_status(r))[0], "net_sum", to=2)
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'und') OR contains(lower(text), 'mehr') THEN 'union' WHEN contains(lower(text), 'the') THEN 'join' ELSE 'plain' END AS kind FROM documents")
+def t9_merge_kind(r):
+    return r("documents").select("doc_id", X.merge_kind(F.col("text"), ["und", "mehr"], ["the"]).alias("kind"))
+
+
+@query("SELECT unnest(['step 2 (sort): no column o_totalpric; similar: [''o_totalprice'']']) AS problem FROM (SELECT 1 FROM orders LIMIT 1)")
+def d2_problems(r):
+    """What is wrong with a pipeline over the schemas of the given tables."""
+    found = D.problems([{"op": "load"}, {"op": "sort", "column": "o_totalpric"}], {"o": r("orders").select("o_totalprice", "o_custkey")})
+    return r("orders").sparkSession.createDataFrame([(p,) for p in found], "problem string")

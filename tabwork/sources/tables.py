@@ -18,12 +18,19 @@ CELLS = "file string, sheet string, row int, col int, value string"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True) -> DataFrame:
-    """A file or folder of files, with source (file name) and _row_id (order within a source)."""
+    """A file or folder of files, with source (file name) and _row_id (order within a source, from 1).
+
+    Rows are numbered by the blocks that tasks read: rows before a block come from the counts of blocks, so a large file is
+    never brought into one task. The files are read twice, once to count.
+    """
     reader = spark.read.option("header", header)
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     named = df.select("*", F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    order = F.row_number().over(Window.partitionBy("source").orderBy("_block", "_id"))
-    return one_missing(named.withColumn("_row_id", order.cast("long")).drop("_block", "_id"))
+    blocks = named.groupBy(F.col("source").alias("_s"), F.col("_block").alias("_b")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = named.join(blocks.withColumn("_before", before), (F.col("source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
+    row_id = (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("long")
+    return one_missing(placed.select(*[F.col(f"`{c}`") for c in df.columns], "source", row_id.alias("_row_id")))
 
 
 def load(tables: dict[str, DataFrame], files: list[str] | None = None, common_only: bool = False) -> DataFrame:
@@ -47,6 +54,12 @@ def file_sizes(df: DataFrame) -> DataFrame:
     return df.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size")).groupBy("file").agg(F.round(F.max("size") / 1024, 1).alias("kilobytes"), F.count("*").alias("rows"))
 
 
+def sheets(cells: DataFrame) -> DataFrame:
+    """file, sheets (their names, comma-joined, in order of name), rows, filled_cells of the workbooks whose cells these are."""
+    names = F.array_join(F.array_sort(F.collect_set("sheet")), ",")
+    return cells.groupBy("file").agg(names.alias("sheets"), F.count_distinct("sheet", "row").alias("rows"), F.count("value").alias("filled_cells"))
+
+
 def save(df: DataFrame, path: str, format: str = "csv", mode: str = "errorifexists") -> None:
     if format not in ("csv", "parquet", "json", "orc"):
         raise ValueError("format must be csv, parquet, json or orc")
