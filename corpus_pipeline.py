@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near", near_copies), ("secrets", secrets), ("mixing", mix), ("packing", pack)]
 
-#: Packing and tokens are beyond SQL; the tests compare the stages with plain Python.
+#: Packing and tokens are beyond SQL; tests/llm/test_pipeline.py holds every stage against SQL or plain Python.
 ORACLE_SQL = None
 
 
