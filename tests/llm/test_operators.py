@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwork.llm import chat_format, knn_join, mixing, packing, parity_join, quality_rules, queries, secret_scan, sharding, token_counts, tokens, toxicity
+from tabwork.llm.common import saved
 from tabwork.llm.shingles import shingle_sets
 
 SF = "/root/testdata/sf0.001"
@@ -44,10 +45,10 @@ def test_quality(spark, docs, odd):
 
 
 def test_word_lists(spark, docs):
-    """Long texts whose words stand between bars go; the same texts without the bars stay. The query's rules keep such lists."""
-    clean = quality_rules.quality_filter(docs.filter("lang = 'en'")).filter(F.size(F.split("text", " ")) > 300).orderBy("doc_id").limit(20).localCheckpoint()
+    """Long texts whose words stand between bars go; the same texts without the bars stay. Rules that ignore bars and length keep some."""
+    clean = saved(quality_rules.quality_filter(docs.filter("lang = 'en'")).filter(F.size(F.split("text", " ")) > 300).orderBy("doc_id").limit(20), "clean")
     lists = clean.limit(2).select((F.col("doc_id") + 10 ** 9).alias("doc_id"), F.array_join(F.split(F.trim("text"), r"\s+"), " | ").alias("text"), "lang", "source", "n_chars")
-    both = docs.unionByName(lists).localCheckpoint()
+    both = saved(docs.unionByName(lists), "lists")
     planted, before = F.col("doc_id") >= 10 ** 9, both.join(clean.select("doc_id"), "doc_id", "left_semi").count()
     kept = quality_rules.quality_filter(both)
     assert before > 0 and kept.filter(planted).count() == 0
