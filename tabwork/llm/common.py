@@ -12,6 +12,7 @@ from ..functions.folders import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tabwork-{name}-{uuid.uuid4().hex}"
