@@ -25,19 +25,60 @@ def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     return raw.join(norm, key).select(key, "gram", "idf", (F.col("x") / F.col("norm")).alias("w"))
 
 
-def similar_texts(corpus: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 2, category: str | None = None, bonus: float = 0.1) -> DataFrame:
-    """query, rank, match, score: cosine of the weights of the corpus, and a bonus for an equal category; pairs of query and corpus grams that share none do not arise."""
+def _joined(parts: list[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    # an empty column of numbers does not go back to Spark as text
+    return pd.concat(parts) if parts else pd.DataFrame(columns=columns, dtype=object)
+
+
+def similar_texts(corpus: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 2, category: str | None = None, bonus: float = 0.1, block: int = 4096) -> DataFrame:
+    """query, rank, match, score: cosine of the weights of the corpus, and a bonus for an equal category; pairs that share no gram do not arise.
+
+    The weights come from joins and sums. Both sides are counted and dealt into blocks of about `block` texts; each pair of blocks is
+    one group that adds up the weights of shared grams and gives its best k a query, so pairs are not shuffled and no gram is a hot
+    key. Scores are ranked to nine digits.
+    """
     index = tfidf(corpus, key, text)
-    asked = bigrams(queries, query_key, query_text).join(index.select("gram", "idf").distinct(), "gram").select(F.col(query_key).alias("query"), "gram", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = asked.groupBy("query").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    asked = asked.join(norm, "query").select("query", "gram", (F.col("x") / F.col("norm")).alias("qw"))
-    scored = asked.join(index.select(F.col(key).alias("match"), "gram", "w"), "gram").groupBy("query", "match").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    if category:
-        a = queries.select(F.col(query_key).alias("query"), F.col(category).alias("_a"))
-        b = corpus.select(F.col(key).alias("match"), F.col(category).alias("_b"))
-        scored = scored.join(a, "query").join(b, "match").withColumn("score", F.col("score") + F.when(F.col("_a") == F.col("_b"), bonus).otherwise(0.0))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "match"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "match", "score")
+    asked = bigrams(queries, query_key, query_text).join(index.select("gram", "idf").distinct(), "gram").select(F.col(query_key).alias("query"), "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    n_c, n_q = (max(1, -(-df.count() // block)) for df in (corpus, queries))
+    # two code points of 21 bits
+    gram = F.shiftleft(F.ascii(F.substring("gram", 1, 1)).cast("long"), 21) + F.ascii(F.substring("gram", 2, 1))
+
+    def dealt(weights: DataFrame, df: DataFrame, df_key: str, name: str, own: int, other: int, mine: str, theirs: str) -> DataFrame:
+        texts = weights.groupBy(name).agg(F.collect_list(F.struct(gram.alias("g"), "w")).alias("_p"))
+        if category:
+            texts = texts.join(df.select(F.col(df_key).alias(name), F.col(category).cast("string").alias("_kind")), name)
+        else:
+            texts = texts.withColumn("_kind", F.lit(None).cast("string"))
+        return texts.select(F.pmod(F.xxhash64(name), F.lit(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs),
+                            name, F.col("_p.g").alias("_g"), F.col("_p.w").alias("_w"), "_kind")
+
+    def solve(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        data = data.sort_values("match", kind="stable")
+        ids, kinds = data["match"].to_numpy(), data["_kind"].to_numpy()
+        if len(data) and len(asked):
+            rows, grams, weights = np.repeat(np.arange(len(data)), [len(g) for g in data["_g"]]), np.concatenate(list(data["_g"])), np.concatenate(list(data["_w"]))
+            order = np.argsort(grams, kind="stable")
+            rows, grams, weights = rows[order], grams[order], weights[order]
+            for own, g, w, kind in zip(asked["query"], asked["_g"], asked["_w"], asked["_kind"]):
+                w = w / np.sqrt((w * w).sum())
+                first, n = np.searchsorted(grams, g), np.searchsorted(grams, g, "right")
+                n = n - first
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                s = np.bincount(rows[at], weights[at] * np.repeat(w, n), len(data))
+                hits = np.flatnonzero(s > 0)
+                s = s[hits] + (np.where(kinds[hits] == kind, bonus, 0.0) if kind is not None else 0.0)
+                level = np.rint(s * 1e9).astype(np.int64)
+                best = np.argsort(-level, kind="stable")[:k]
+                parts.append(pd.DataFrame({"query": own, "match": ids[hits[best]], "score": s[best], "level": level[best]}))
+        return _joined(parts, ["query", "match", "score", "level"])
+
+    kind_of = lambda df, c: df.schema[c].dataType.simpleString()
+    left = dealt(index.select(F.col(key).alias("match"), "gram", "w"), corpus, key, "match", n_c, n_q, "_c", "_q").groupBy("_c", "_q")
+    right = dealt(asked, queries, query_key, "query", n_q, n_c, "_q", "_c").groupBy("_c", "_q")
+    local = left.cogroup(right).applyInPandas(solve, f"query {kind_of(queries, query_key)}, match {kind_of(corpus, key)}, score double, level long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("level"), "match"))
+    return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "match", "score")
 
 
 def similar_vectors(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 2, category: str | None = None, bonus: float = 0.1, block: int = 8192) -> DataFrame:
@@ -90,7 +131,7 @@ def similar_vectors(corpus: DataFrame, queries: DataFrame, key: str, vector: str
                     keep = np.flatnonzero(level >= np.partition(level, len(s) - k)[len(s) - k])
                 best = keep[np.argsort(-level[keep], kind="stable")[:k]]
                 parts.append(pd.DataFrame({"query": own, "match": match[best], "score": s[best], "known": ok[best], "level": level[best]}))
-        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("query", "match", "score", "known", "level")})
+        return _joined(parts, ["query", "match", "score", "known", "level"])
 
     LEAST = -(2 ** 62)
     kind_of = lambda df: df.schema[key].dataType.simpleString()

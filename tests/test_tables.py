@@ -141,6 +141,66 @@ def test_similar_vectors(spark):
     assert rows(table_queries.queries()[name](spark, SF).select(*want.columns)) == sorted(want.fetchall(), key=repr)
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_match_labels(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abC"), rng.integers(1, 9)))
+    left = [word() for _ in range(150)] + ["", None, "z", "Q" * 30, "x" * 19 + "yz", "Ünïcode", "ab" * 12 + "c"]
+    right = [word() for _ in range(60) if True] + ["abcabcabcabcabc", None, "q" * 31, "x" * 19 + "wz", "ünicode", "ba" + "ab" * 11 + "dddd"]
+    right = [x for x in right if x is None or len(x) > 3]
+    a = spark.createDataFrame([(x,) for x in left + left[:9]], "l string")
+    b = spark.createDataFrame([(x, int(i % 37)) for i, x in enumerate(right)], "r string, o long")
+
+    def best(x, names):
+        found = []
+        for y, o in names:
+            if y is None:
+                continue
+            lx, ly = x.lower(), y.lower()
+            near = len(x) >= 2 and len(y) >= 2 and abs(len(x) - len(y)) <= 3 and _edits(lx[:20], ly[:20]) <= 1
+            if lx in ly or ly in lx or near:
+                found.append((0 if lx in ly or ly in lx else 1, o, y))
+        return min(found)[2] if found else None
+
+    for names in ([(x, i % 37) for i, x in enumerate(right)], [("", 99), ("abba", 1)]):
+        b = spark.createDataFrame(names, "r string, o long")
+        want = {(x, best(x, names)) for x in left if x is not None and best(x, names) is not None}
+        assert set(rows(J.match_labels(a, b, "l", "r", "o"))) == want and len(want) > 5
+    assert J.match_labels(a, b.limit(0), "l", "r", "o").columns == ["l", "matched"]
+
+
+def test_similar_texts(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("ab가😀 "), rng.integers(0, 12))) for _ in range(90)] + [None, "zz", "a"]
+    kinds = [None if i % 7 == 0 else str(i % 3) for i in range(len(texts))]
+    df = spark.createDataFrame([(f"t{i:02}", t, k) for i, (t, k) in enumerate(zip(texts, kinds))], "id string, t string, kind string")
+    grams = [[t[j:j + 2] for j in range(len(t) - 1)] if t else [] for t in texts]
+    every = sorted({g for gs in grams for g in gs})
+    tf = np.array([[gs.count(g) for g in every] for gs in grams], float)
+    w = tf * (np.log((len(texts) + 1) / ((tf > 0).sum(0) + 1)) + 1)
+    norm = np.sqrt((w * w).sum(1))
+    cos = np.divide(w @ w.T, norm[:, None] * norm[None], out=np.zeros((len(w), len(w))), where=norm[:, None] * norm[None] > 0)
+    for category in (None, "kind"):
+        bonus = 0.1 * np.array([[category is not None and x is not None and x == y for y in kinds] for x in kinds])
+        want = set()
+        for i in range(len(texts)):
+            ok = [j for j in range(len(texts)) if cos[i, j] > 0]
+            order = sorted(ok, key=lambda j: (-round(cos[i, j] + bonus[i, j], 9), j))[:3]
+            want |= {(f"t{i:02}", n + 1, f"t{j:02}", round(cos[i, j] + bonus[i, j], 6)) for n, j in enumerate(order)}
+        for block in (20, 4096):
+            got = X.similar_texts(df, df, "id", "t", "id", "t", 3, category, block=block).collect()
+            assert {(r["query"], r["rank"], r["match"], round(r["score"], 6)) for r in got} == want
+    assert X.similar_texts(df, df.limit(0), "id", "t", "id", "t").count() == 0 and X.similar_texts(df.limit(0), df, "id", "t", "id", "t").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(table_queries.oracle_sql()))
 def test_query_rows(spark, name):
     c = duckdb.connect()
