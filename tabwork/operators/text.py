@@ -6,13 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: pairs of blocks are spread over up to so many tasks
+MOST_TASKS = 10_000
 FENCE = r"(?s)```[A-Za-z0-9_+-]*[ \t]*\n(.*?)```"
 
 
 def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, gram, tf: character pairs, case and spaces kept."""
-    n = F.char_length(text)
-    grams = df.filter(n >= 2).select(key, F.col(text).alias("_t"), F.explode(F.sequence(F.lit(1), n - 1)).alias("_i")).select(key, F.substring("_t", F.col("_i"), F.lit(2)).alias("gram"))
+    # those that begin at even places, and those at odd ones
+    even, odd = (F.regexp_extract_all(t, F.lit("(?s).."), 0) for t in (F.col(text), F.substring(text, 2, 2147483647)))
+    grams = df.select(key, F.explode(F.concat(even, odd)).alias("gram"))
     return grams.groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
@@ -60,22 +63,34 @@ def similar_texts(corpus: DataFrame, queries: DataFrame, key: str, text: str, qu
             rows, grams, weights = np.repeat(np.arange(len(data)), [len(g) for g in data["_g"]]), np.concatenate(list(data["_g"])), np.concatenate(list(data["_w"]))
             order = np.argsort(grams, kind="stable")
             rows, grams, weights = rows[order], grams[order], weights[order]
-            for own, g, w, kind in zip(asked["query"], asked["_g"], asked["_w"], asked["_kind"]):
-                w = w / np.sqrt((w * w).sum())
-                first, n = np.searchsorted(grams, g), np.searchsorted(grams, g, "right")
-                n = n - first
-                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                s = np.bincount(rows[at], weights[at] * np.repeat(w, n), len(data))
-                hits = np.flatnonzero(s > 0)
-                s = s[hits] + (np.where(kinds[hits] == kind, bonus, 0.0) if kind is not None else 0.0)
-                level = np.rint(s * 1e9).astype(np.int64)
-                best = np.argsort(-level, kind="stable")[:k]
-                parts.append(pd.DataFrame({"query": own, "match": ids[hits[best]], "score": s[best], "level": level[best]}))
+            for at in range(0, len(asked), 256):
+                some = asked.iloc[at:at + 256]
+                wanted = np.unique(np.concatenate(list(some["_g"])))
+                q = np.zeros((len(some), len(wanted)))
+                for i, (g, w) in enumerate(zip(some["_g"], some["_w"])):
+                    q[i, np.searchsorted(wanted, g)] = w / np.sqrt((w * w).sum())
+                scores = np.zeros((len(some), len(data)))
+                for part in np.split(np.arange(len(wanted)), range(2048, len(wanted), 2048)):
+                    own = wanted[part]
+                    lo, hi = np.searchsorted(grams, own[0]), np.searchsorted(grams, own[-1], "right")
+                    place = np.searchsorted(own, grams[lo:hi])
+                    known = own[place] == grams[lo:hi]
+                    dense = np.zeros((len(own), len(data)))
+                    dense[place[known], rows[lo:hi][known]] = weights[lo:hi][known]
+                    scores += q[:, part] @ dense
+                for i, (own, kind) in enumerate(zip(some["query"], some["_kind"])):
+                    hits = np.flatnonzero(scores[i] > 0)
+                    s = scores[i][hits] + (np.where(kinds[hits] == kind, bonus, 0.0) if kind is not None else 0.0)
+                    level = np.rint(s * 1e9).astype(np.int64)
+                    best = np.argsort(-level, kind="stable")[:k]
+                    parts.append(pd.DataFrame({"query": own, "match": ids[hits[best]], "score": s[best], "level": level[best]}))
         return _joined(parts, ["query", "match", "score", "level"])
 
     kind_of = lambda df, c: df.schema[c].dataType.simpleString()
-    left = dealt(index.select(F.col(key).alias("match"), "gram", "w"), corpus, key, "match", n_c, n_q, "_c", "_q").groupBy("_c", "_q")
-    right = dealt(asked, queries, query_key, "query", n_q, n_c, "_q", "_c").groupBy("_c", "_q")
+    # as many tasks as groups: the groups are small, the work in them is not
+    tasks = min(n_c * n_q, MOST_TASKS)
+    left = dealt(index.select(F.col(key).alias("match"), "gram", "w"), corpus, key, "match", n_c, n_q, "_c", "_q").repartition(tasks, "_c", "_q").groupBy("_c", "_q")
+    right = dealt(asked, queries, query_key, "query", n_q, n_c, "_q", "_c").repartition(tasks, "_c", "_q").groupBy("_c", "_q")
     local = left.cogroup(right).applyInPandas(solve, f"query {kind_of(queries, query_key)}, match {kind_of(corpus, key)}, score double, level long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("level"), "match"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "match", "score")
@@ -135,8 +150,9 @@ def similar_vectors(corpus: DataFrame, queries: DataFrame, key: str, vector: str
 
     LEAST = -(2 ** 62)
     kind_of = lambda df: df.schema[key].dataType.simpleString()
-    left = dealt(corpus, "match", n_c, n_q, "_c", "_q").groupBy("_c", "_q")
-    right = dealt(queries, "query", n_q, n_c, "_q", "_c").groupBy("_c", "_q")
+    tasks = min(n_c * n_q, MOST_TASKS)
+    left = dealt(corpus, "match", n_c, n_q, "_c", "_q").repartition(tasks, "_c", "_q").groupBy("_c", "_q")
+    right = dealt(queries, "query", n_q, n_c, "_q", "_c").repartition(tasks, "_c", "_q").groupBy("_c", "_q")
     local = left.cogroup(right).applyInPandas(solve, f"query {kind_of(queries)}, match {kind_of(corpus)}, score double, known boolean, level long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("level"), "match"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "match", F.when(F.col("known"), F.col("score")).alias("score"))
