@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, knn_join, mixing, oracles, packing, parity_join, quality_rules, secret_scan, sharding, token_counts, toxicity
+from . import chat_format, knn_join, line_dedup, mixing, oracles, packing, parity_join, quality_rules, secret_scan, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_sharding": sharding.op9_sharding,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_voronoi_knn": knn_join.ORACLE,
         "op6_secret_scan": oracles.secrets_sql(),
         "op8_mixing": oracles.mixing_sql(),
+        "op11_line_dedup": line_dedup.ORACLE,
     }

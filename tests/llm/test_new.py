@@ -1,0 +1,56 @@
+"""Line dedup, lexical search and the manifest: against plain versions, and on odd rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tabwork.llm import line_dedup
+from tests.llm.test_operators import DOCS, SF
+
+
+def plain_lines(rows, how):
+    """(n_lines, n_dropped, kept text) of each (doc_id, text), by counting keys in a dict."""
+    split = [(t or "").split("\n") for _, t in rows]
+    key = lambda x: x.encode().strip(b" \t\n\x0b\x0c\r").lower()
+    holds, first = Counter(), {}
+    for at in sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i)):
+        keys = [key(x) for x in split[at]]
+        for k in dict.fromkeys(keys):
+            if len(k.decode()) >= how.min_chars:
+                holds[k] += 1
+                first.setdefault(k, (rows[at], keys.index(k)))
+    out = []
+    for r, lines in zip(rows, split):
+        gone = [holds[key(x)] >= how.min_docs and not (how.keep_first and first[key(x)] == (r, i)) for i, x in enumerate(lines)]
+        out.append((len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("how", [line_dedup.Lines(), line_dedup.Lines(min_docs=3, min_chars=4), line_dedup.Lines(min_docs=1, keep_first=True), line_dedup.Lines(min_docs=4, keep_first=True)])
+def test_line_dedup(spark, how):
+    """Hot lines that go over many partitions, rows without an id, repeated rows, ties, blanks, marks and long texts."""
+    rng = np.random.default_rng(how.min_docs)
+    pool = ["", "  ", "x", "é", "License  A", "\tlicense  a\r", "éa", "ÉA", "two words", "TWO WORDS ", " ", *[f"line {i}" for i in range(60)]]
+    rows = [(i if i % 9 or how.keep_first else None, "\n".join(["Hot line" if i % 3 else "hot line "] * int(rng.integers(0, 5)) + rng.choice(pool, rng.integers(0, 9)).tolist())) for i in range(700)]
+    rows += [(5, None), (6, ""), (7, "\n"), (8, "a\n" * 5000), (8, "a\n" * 5000), (9, "same\nsame\nrest"), (9, "same\nsame\nrest")]
+    docs = spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id long, text string, n_lines string").repartition(5)
+    seen = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = Counter((i, *w) for (i, _), w in zip(seen, plain_lines(seen, how)))
+    out = line_dedup.cut_lines(docs, line_dedup.keep_bitmaps(docs, how))
+    assert out.columns == ["doc_id", "text", "n_lines", "_n_lines", "n_dropped"]
+    assert Counter((r["doc_id"], r["_n_lines"], r["n_dropped"], r["text"] or "") for r in out.collect()) == want
+    assert line_dedup.keep_bitmaps(docs.limit(0), how).count() == 0 and line_dedup.cut_lines(docs.limit(0), line_dedup.keep_bitmaps(docs.limit(0), how)).count() == 0
+
+
+def test_line_bitmaps(spark):
+    """Bitmaps are null where nothing goes and say which lines stay elsewhere."""
+    docs = spark.createDataFrame([(i, f"own {i}\nshared\nlast {i}") for i in range(12)] + [(20, "alone")], "doc_id long, text string")
+    for r in line_dedup.keep_bitmaps(docs).collect():
+        assert (r["bitmap"] is None) == (r["doc_id"] == 20)
+        assert r["bitmap"] is None or line_dedup.unpack(r["bitmap"], r["n_lines"]).tolist() == [True, False, True]
