@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabwork.llm import line_dedup
+from tabwork.llm import line_dedup, manifest
 from tests.llm.test_operators import DOCS, SF
 
 
@@ -54,3 +54,62 @@ def test_line_bitmaps(spark):
     for r in line_dedup.keep_bitmaps(docs).collect():
         assert (r["bitmap"] is None) == (r["doc_id"] == 20)
         assert r["bitmap"] is None or line_dedup.unpack(r["bitmap"], r["n_lines"]).tolist() == [True, False, True]
+
+
+def plain_manifest(rows, arity=8):
+    """doc_id, leaf, subroot, root, proof, folded root and whether it is the root, for rows as the query takes them; whole levels at a time."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    part = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    low = lambda t: None if t is None else re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+    def tree(nodes):
+        """(root, siblings before and after each node by level)"""
+        sides, at, levels = [[] for _ in nodes], list(range(len(nodes))), nodes
+        while len(levels) > 1:
+            for k, i in enumerate(at):
+                run = levels[i - i % arity:i - i % arity + arity]
+                sides[k].append(("".join(run[:i % arity]), "".join(run[i % arity + 1:])))
+            levels, at = [sha("".join(levels[i:i + arity])) for i in range(0, len(levels), arity)], [i // arity for i in at]
+        return levels[0], sides
+
+    groups = defaultdict(list)
+    for doc_id, source, lang, n_chars, text in rows:
+        seen = low(text) if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 0 else text
+        groups[lang].append((doc_id, *(sha("".join(map(part, (doc_id, source, lang, n_chars, t)))) for t in (text, seen))))
+    names = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for k in names:
+        groups[k].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    below = {k: tree([x[1] for x in groups[k]]) for k in names}
+    root, above = tree([below[k][0] for k in names])
+    out = []
+    for k, up in zip(names, above):
+        for (doc_id, leaf, seen), own in zip(groups[k], below[k][1]):
+            for a, b in (*own, *up):
+                seen = sha(a + seen + b)
+            out.append((doc_id, leaf, below[k][0], root, sha("".join(a + b for a, b in (*own, *up))), seen, seen == root))
+    return out
+
+
+@pytest.mark.parametrize("levels", [1, 2, 4])
+def test_manifest(spark, levels):
+    """Groups of 1 to 700 rows (runs of one at their ends), 20 groups, null groups, ids and fields, repeated rows; blocks of 8, 64 and 4096 nodes."""
+    rng = np.random.default_rng(levels)
+    sizes = {None: 65, "": 1, "en": 700, "é": 64, "z": 9, **{f"g{i}": i + 1 for i in range(15)}}
+    rows = [(i * 7 % 1000 if i % 11 else None, "s" if i % 3 else None, g, i if i % 5 else None, f"Text É {rng.integers(9)} ABC" if i % 7 else None) for g, n in sizes.items() for i in range(n)]
+    rows += rows[:30]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").withColumn("digest", F.lit(1)).withColumn("left", F.lit(2)).repartition(6)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, manifest.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    out = manifest.manifest(docs, manifest.Merkle(levels=levels), {"text": tampered}).withColumn("f", manifest.folded("seen"))
+    got = [tuple(r) for r in out.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof_text(), 256), "f", F.col("f") == F.col("root")).collect()]
+    assert Counter(got) == Counter(plain_manifest(rows)) and 0 < sum(r[-1] for r in got) < len(got)
+
+
+def test_manifest_small(spark):
+    """One row, two groups of one, no row."""
+    for n in (0, 1, 2):
+        rows = [(i, "s", f"l{i}", 3, "Abc") for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+        got = manifest.manifest(docs).withColumn("f", manifest.folded("leaf")).collect()
+        assert len(got) == n and all(r["f"] == r["root"] for r in got)
+        if n == 1:
+            assert got[0]["left"] == [] and got[0]["root"] == got[0]["leaf"]
