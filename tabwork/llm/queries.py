@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, knn_join, line_dedup, manifest, mixing, oracles, packing, parity_join, quality_rules, secret_scan, sharding, token_counts, toxicity
+from . import chat_format, knn_join, lexical, line_dedup, manifest, mixing, oracles, packing, parity_join, quality_rules, secret_scan, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_sharding": sharding.op9_sharding,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_lexical_search": lexical.op12_lexical_search,
         "op13_merkle_manifest": manifest.op13_merkle_manifest,
     }
 
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_secret_scan": oracles.secrets_sql(),
         "op8_mixing": oracles.mixing_sql(),
         "op11_line_dedup": line_dedup.ORACLE,
+        "op12_lexical_search": lexical.ORACLE,
         "op13_merkle_manifest": manifest.ORACLE,
     }

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabwork.llm import line_dedup, manifest
+from tabwork.llm import lexical, line_dedup, manifest
 from tests.llm.test_operators import DOCS, SF
 
 
@@ -113,3 +113,63 @@ def test_manifest_small(spark):
         assert len(got) == n and all(r["f"] == r["root"] for r in got)
         if n == 1:
             assert got[0]["left"] == [] and got[0]["root"] == got[0]["leaf"]
+
+
+def plain_search(docs, items, k):
+    """(item, rank, doc_id, score): every document scored for every item, one by one."""
+    cut = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    bags = [(i, Counter(cut(t))) for i, t in docs if cut(t)]
+    n, total = len(bags), sum(sum(b.values()) for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in items:
+        found = []
+        for i, b in bags:
+            m = 10 + (90 * sum(b.values()) * n) // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10 ** 9 * b[t]) // (1000 * b[t] + 8 * m)) for t in set(cut(text)) if b[t])
+            if s > 0:
+                found.append((-s, i is None, i or 0))
+        out += [(item, r + 1, None if gone else i, -s) for r, (s, gone, i) in enumerate(sorted(found)[:k])]
+    return out
+
+
+def _zipf(rng, n, most=30):
+    words = [f"W{i}" if i % 2 else f"w\u00e9{i}" for i in range(200)]
+    p = 1 / np.arange(1, 201)
+    return [" ".join(rng.choice(words, rng.integers(1, most), p=p / p.sum())) for _ in range(n)]
+
+
+@pytest.mark.parametrize("how", [lexical.Search(), lexical.Search(k=3, block_docs=16, block_items=7), lexical.Search(block_docs=40, pairs=False, block_chars=300)])
+def test_lexical_search(spark, how):
+    """All documents for all items; ties, repeated rows and items, rows without id or text, texts without terms, separators of all kinds."""
+    rng = np.random.default_rng(how.k)
+    docs = [(i, t) for i, t in enumerate(_zipf(rng, 500))] + [(None, "W1 W3"), (3, "W1 W3"), (3, "W1 W3"), (7000, None), (7001, ""), (7002, "-- !?"), (7003, "W1,w3;W1\x00W5{W7}`w9`"), (7004, "W1 " * 3000)]
+    items = [(i, t) for i, t in enumerate(_zipf(rng, 25))] + [(0, "W1 w3"), (90, None), (91, "..."), (92, "nowhere"), (93, "W1 w3"), (None, "W5")]
+    got = lexical.ranked_search(spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit(1)).repartition(3), spark.createDataFrame(items, "item_id long, text string"), how).collect()
+    assert Counter(map(tuple, got)) == Counter(plain_search(docs, items, how.k))
+    few = spark.createDataFrame(docs[:1], "doc_id long, text string")
+    some = spark.createDataFrame(items[:2], "item_id long, text string")
+    assert lexical.ranked_search(few.limit(0), some).count() == 0 and lexical.ranked_search(few, some.limit(0)).count() == 0
+
+
+def test_pair_bounds():
+    """Rare words that stand together in few documents: with bounds of pairs fewer postings are read, and the best are the same."""
+    rng = np.random.default_rng(1)
+    n, vocabulary = 2000, 60
+    bags = [np.unique(rng.integers(0, vocabulary, 6)) for _ in range(n)]
+    item = list(range(0, 24))
+    bags[5] = np.array(item[:14])
+    terms, held = np.concatenate(bags).astype(np.int32), np.array([len(b) for b in bags])
+    corpus = lexical.Corpus(n, int(held.sum()), np.array([lexical.weight(n, int((terms == t).sum())) for t in range(vocabulary)]))
+    pairs = lexical.pairs_of(item, corpus.weights)
+    found = {}
+    for how in (lexical.Search(k=1), lexical.Search(k=1, pairs=False)):
+        best, read = lexical.Best(1), 0
+        for at in (0, 1000):
+            some = slice(at, at + 1000)
+            lo, hi = held[:at].sum(), held[:at + 1000].sum()
+            block = lexical.make_block(list(range(at, at + 1000)), held[some].tolist(), terms[lo:hi], np.ones(hi - lo, np.int32), held[some], corpus, pairs, how)
+            step = lexical.search_block(block, item, [(*p, k) for k, p in enumerate(pairs)], best, how)
+            read += step if at else 0
+        found[how.pairs] = (best.ids.tolist(), best.scores.tolist(), read)
+    assert found[True][:2] == found[False][:2] and found[True][0] == [5] and found[True][2] < found[False][2]
