@@ -52,6 +52,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def settled(df: DataFrame, columns: dict[str, Column], keep: list[str]) -> DataFrame:
+    """The columns `keep` of df and then these, each worked out once a row, whatever is done with the result.
+
+    They come out of a generator, so the optimizer does not put their steps into later filters, where each use of a step inside
+    another would work it out again.
+    """
+    made = F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+    return df.select(*[quoted(c) for c in keep], made)
+
+
 def ranked(values: DataFrame, column: str) -> DataFrame:
     """column, position (from 0) of the distinct values of a column in order, null last; a saved table.
 

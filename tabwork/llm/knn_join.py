@@ -16,6 +16,7 @@ hair against rounding.
 
 Defined results for odd input: vectors that are null or hold null or non-finite components take no part, as queries or
 as candidates; vectors count as padded with zeros to the longest length, so an empty one has the score 0 with all;
+vectors so large that a score might not fit 64 bits (the square of the largest norm, times scale, is 2^63 or more) are an error;
 repeated vectors are candidates each; a query's own row is not its candidate, other rows of the same id are, and each row
 of a repeated id is a query with ranks of its own; an empty table gives an empty table; other input columns are ignored.
 """
@@ -128,6 +129,8 @@ def _plan(vectors: DataFrame, is_query: Column, how: Search, vector: str):
     if not ends["n"]:
         return None
     width, top = max(ends["width"], 1), float(ends["norm"])
+    if top ** 2 >= 2.0 ** 63:
+        raise ValueError(f"scores up to {top ** 2:.3g} do not fit 64-bit integers; scale the vectors")
     chosen = rows.orderBy(F.xxhash64("vec_id", "row"), "row").select("v").limit(pivot_count(ends["n"], how)).collect()
     pivots = np.zeros((len(chosen), width + 1))
     for i, r in enumerate(chosen):

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANK, free_name, quoted, saved, text_of
+from .common import BLANK, free_name, quoted, saved, settled, text_of
 
 #: The function words whose shares are compared, by language.
 COMMON_WORDS = {
@@ -54,16 +54,14 @@ def measured(docs: DataFrame, name: str, rules: Rules = Rules()) -> DataFrame:
     """docs with a struct column `name`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, words (and n_bare with bare_class).
 
     Each step is a column of its own: what stands inside a lambda or is taken from a struct would be worked out again for
-    every element and every use.
+    every element and every use. The struct is settled, so the result may be filtered, summed and joined.
     """
     text = text_of()
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     every = sorted({form for v in COMMON_WORDS.values() for w in v for form in (w, w.capitalize())})
-    own: list[str] = []
     prefix = free_name(docs, "_measure_")
 
     def add(df: DataFrame, **columns: Column) -> DataFrame:
-        own.extend(prefix + k for k in columns)
         return df.withColumns({prefix + k: c for k, c in columns.items()})
 
     def at(k: str) -> Column:
@@ -96,15 +94,14 @@ def measured(docs: DataFrame, name: str, rules: Rules = Rules()) -> DataFrame:
     out = add(out, before=F.concat(F.array(F.lit(None).cast(f"struct<h:bigint,i:int>")), F.slice(at("starts"), F.lit(1), F.greatest(F.size(at("starts")) - 1, F.lit(0)))), after=F.slice(at("starts"), F.lit(2), F.greatest(F.size(at("starts")), F.lit(0))))
     out = add(out, repeated=F.array_sort(F.filter(F.zip_with(F.zip_with(at("starts"), at("before"), lambda s, b: F.struct(s["i"].alias("i"), s["h"].alias("h"), (F.coalesce(s["h"] == b["h"], F.lit(False))).alias("eq"))), at("after"),
                                                              lambda s, a: F.when(s["eq"] | F.coalesce(s["h"] == a["h"], F.lit(False)), s["i"])), lambda i: i.isNotNull())))
-    out = out.withColumn(name, F.struct(
+    return settled(out, {name: F.struct(
         at("n").cast("long").alias("n_words"), at("word_chars").alias("word_chars"), at("symbol").alias("n_symbols"),
         (F.size(at("lines")) - F.size(F.array_distinct(at("lines")))).cast("long").alias("n_dup_lines"),
         F.coalesce(_spread(at("repeated")), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(at("word_chars") - at("rares"), at("chars") - at("word_chars"), at("upper"), at("digit"), at("symbol"), at("mark"), at("rares") - at("upper") - at("digit") - at("symbol") - at("mark")).alias("classes"),
         F.transform(at("listed"), lambda w: F.size(F.filter(at("common"), lambda x: x == w)).cast("long")).alias("words"),
         *([F.regexp_count(text, F.lit(BARE_WORD)).cast("long").alias("n_bare")] if rules.bare_class else []),
-    ))
-    return out.drop(*own)
+    )}, [c for c in docs.columns if c != name])
 
 
 def _spread(starts: Column) -> Column:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import free_name, quoted, text_of
+from .common import free_name, quoted, settled, text_of
 
 #: What a secret of each kind looks like, in the order of kinds.
 ASSIGN = r"""(?=[pPsStTaA])(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -151,7 +151,7 @@ def _entropy_spans(candidates: Column, rules: EntropyRules) -> Column:
 
 
 def scanned(docs: DataFrame, name: str, rules: EntropyRules = EntropyRules()) -> DataFrame:
-    """docs with an array column `name` of struct<start, kind, end>, ordered by start, then kind."""
+    """docs with an array column `name` of struct<start, kind, end>, ordered by start, then kind; to be filtered, summed or joined as any column."""
     text, t = text_of(), free_name(docs, "_scan_")
     out = docs
     for k, pattern in (("assign", ASSIGN), ("access", r"AKIA[A-Z0-9]{14,}"), ("hex", r"(?<![0-9a-f])[0-9a-f]{16,}+")):
@@ -170,8 +170,7 @@ def scanned(docs: DataFrame, name: str, rules: EntropyRules = EntropyRules()) ->
         mixed = (lambda f, p: lambda m: f(m) & m["text"].rlike(p))(mixed, p)
     out = out.withColumn(f"{t}left", F.filter(f"{t}entropy", lambda m: mixed(m) & ~m["text"].rlike(rules.allowed)))
     extra = F.when(F.size(f"{t}left") > 0, _entropy_spans(F.col(f"{t}left"), rules)).otherwise(F.array().cast(_SPANS))
-    out = out.withColumn(name, F.array_sort(F.concat(f"{t}base", extra)))
-    return out.select(*[quoted(c) for c in docs.columns if c != name], name)
+    return settled(out, {name: F.array_sort(F.concat(f"{t}base", extra))}, [c for c in docs.columns if c != name])
 
 
 def span_text(spans: Column) -> Column:
@@ -183,7 +182,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """Each run of overlapping spans becomes `mask`; n_chars, where there is one, follows. Documents without spans stay as they are."""
     name = free_name(docs, "secrets")
     out = _gaps(scanned(docs, name), f"{name}_gaps", name, F.col("text"))
-    out = out.withColumn(f"{name}_clean", F.coalesce(F.array_join(F.transform(f"{name}_gaps", lambda g: g["text"]), mask), F.col("text")))
+    clean = F.coalesce(F.array_join(F.transform(f"{name}_gaps", lambda g: g["text"]), mask), F.col("text"))
+    out = settled(out, {f"{name}_clean": clean}, [*docs.columns, name])
     count = lambda c: F.when(F.size(name) > 0, F.char_length(f"{name}_clean").cast(docs.schema[c].dataType)).otherwise(quoted(c))
     return out.select(*[F.col(f"{name}_clean").alias(c) if c == "text" else count(c).alias(c) if c == "n_chars" else quoted(c) for c in docs.columns])
 
