@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
@@ -23,3 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="tabwork-"))
     return "file://" + _local[0]
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back: worked out once, and there whichever executor is lost."""
+    path = f"{shared_dir(df.sparkSession)}/tabwork-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

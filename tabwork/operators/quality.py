@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rules import numeric_columns, text_columns, to_number
+from .quantiles import quantile_lists
 
 #: What the label of a summary row holds, in several languages; found anywhere in it, case ignored.
 SUMMARY_ROW = (
@@ -63,22 +64,34 @@ def summary_rows(df: DataFrame, pattern: str = SUMMARY_ROW) -> DataFrame:
     return df.agg((F.greatest(*counts) if len(counts) > 1 else counts[0] if counts else F.lit(0)).cast("long").alias("summary_rows"))
 
 
-def _quartiles(df: DataFrame, columns: list[str], accuracy: int | None) -> DataFrame:
-    quantile = (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy)) if accuracy else (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    return df.agg(*[F.struct(F.count(c).alias("n"), quantile(F.col(c)).alias("q")).alias(f"_q_{c}") for c in columns])
+def quartiles(df: DataFrame, columns: list[str], accuracy: int | None = None) -> dict[str, tuple[int, list[float | None]]]:
+    """column -> (known values, [first quartile, median, third quartile]); exact over many tasks, or sketches with `accuracy`."""
+    if not accuracy:
+        return quantile_lists(df, columns, (0.25, 0.5, 0.75))
+    found = df.agg(*[F.struct(F.count(f"`{c}`"), F.percentile_approx(f"`{c}`", [0.25, 0.5, 0.75], accuracy)).alias(str(i)) for i, c in enumerate(columns)]).first()
+    return {c: (r[0], [None if x is None else float(x) for x in r[1] or [None] * 3]) for c, r in zip(columns, found)}
+
+
+def fences(q: tuple[int, list[float | None]], factor: float) -> tuple[float | None, float | None, bool]:
+    """(low, high, judged): the quartiles widened by factor times their distance; fewer than 4 values or no distance are not judged."""
+    n, (a, _, b) = q
+    if a is None:
+        return None, None, False
+    return a - factor * (b - a), b + factor * (b - a), n >= 4 and b - a > 0
+
+
+def _beyond(column: str, low: float | None, high: float | None, judged: bool) -> Column:
+    return F.count(F.when((F.col(f"`{column}`") < low) | (F.col(f"`{column}`") > high), 1)) if judged else F.count(F.lit(None))
 
 
 def outliers(df: DataFrame, factor: float = 3.0, columns: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
-    """column, low, high, outliers: values strictly outside the quartiles by factor times their distance; columns with fewer than 4 values or no distance have none."""
+    """column, low, high, outliers: values strictly outside the quartiles by factor times their distance; columns with fewer than 4 values or no distance have none.
+
+    The quartiles take jobs of their own; their few numbers stand in the lazy plan that counts.
+    """
     columns = columns or numeric_columns(df)
-    both = df.select(*columns).join(F.broadcast(_quartiles(df, columns, accuracy)))
-    facts = {}
-    for c in columns:
-        q = F.col(f"_q_{c}")
-        spread = q["q"][2] - q["q"][0]
-        low, high = q["q"][0] - factor * spread, q["q"][2] + factor * spread
-        facts[c] = {"low": F.first(low), "high": F.first(high), "outliers": F.count(F.when((q["n"] >= 4) & (spread > 0) & ((F.col(c) < low) | (F.col(c) > high)), 1))}
-    return _long(both, facts)
+    found = {c: fences(q, factor) for c, q in quartiles(df, columns, accuracy).items()}
+    return _long(df, {c: {"low": F.max(F.lit(low).cast("double")), "high": F.max(F.lit(high).cast("double")), "outliers": _beyond(c, low, high, ok)} for c, (low, high, ok) in found.items()})
 
 
 def number_shares(df: DataFrame, most: int | None = 200, order: str | None = None) -> DataFrame:
@@ -154,11 +167,11 @@ def overview(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in one.columns])))
 
 
-def distribution(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, mean, median (1 decimal), outliers by 1.5 quartile distances."""
+def distribution(df: DataFrame, columns: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+    """column, mean, median (1 decimal), outliers by 1.5 quartile distances; quartiles and medians by the same jobs."""
     columns = columns or numeric_columns(df)
-    facts = _long(df, {c: {"mean": F.round(F.avg(c), 1), "median": F.round(F.median(c), 1)} for c in columns})
-    return facts.join(outliers(df, 1.5, columns).select("column", "outliers"), "column")
+    found = quartiles(df, columns, accuracy)
+    return _long(df, {c: {"mean": F.round(F.avg(c), 1), "median": F.round(F.max(F.lit(found[c][1][1]).cast("double")), 1), "outliers": _beyond(c, *fences(found[c], 1.5))} for c in columns})
 
 
 def structure(df: DataFrame) -> DataFrame:

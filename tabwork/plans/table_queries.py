@@ -619,6 +619,22 @@ def c6_box_columns(r):
     return rounded(C.box_columns(r("part"), ["p_size", "p_retailprice"]), "q1", "median", "q3", "low", "high")
 
 
+_BOXES = _SQL["c6_box_columns"].replace("p_size", "value").replace("'p_retailprice'", "'event_id'").replace("p_retailprice", "event_id").replace("part", "events")
+
+
+@query(_BOXES)
+def c6_box_many_groups(r):
+    """More groups than a picture holds: a box per numeric column."""
+    return rounded(C.box(r("events").select("user_id", "value", "event_id"), "value", "user_id"), "q1", "median", "q3", "low", "high")
+
+
+@query("SELECT user_id, round(median(value), 4) AS value_median, count(value)::BIGINT AS value_count, round(median(event_id), 4) AS event_id_median FROM events GROUP BY 1")
+def a8_medians_by_user(r):
+    """Many groups, two medians and another figure at once."""
+    out = A.aggregate(r("events"), ["user_id"], [{"column": "value", "func": "median"}, {"column": "value", "func": "count"}, {"column": "event_id", "func": "median"}])
+    return rounded(out, "value_median", "event_id_median")
+
+
 @query("SELECT p_size, p_retailprice FROM part")
 def c4_scatter(r):
     return C.scatter(r("part"), "p_size", "p_retailprice")

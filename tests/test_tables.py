@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwork.functions.rules import one_missing, to_number
-from tabwork.operators import aggregate as A, combine as J, filters as O, grid as N, quality as Q, select as P, text as X
+from tabwork.operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, quality as Q, select as P, text as X
+from tabwork.operators.quantiles import ordered_bits, quantile_lists, quantiles
 from tabwork.plans import pipeline as D, table_queries
 from tabwork.sources import tables as S
 from tabwork.streaming.steps import follow, row_steps
@@ -210,3 +211,50 @@ def test_query_rows(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     same = lambda found: sorted([tuple(round(x, 3) if isinstance(x, float) else x for x in r) for r in found], key=repr)
     assert same(got.select(*[f"`{x}`" for x in want.columns]).collect()) == same(want.fetchall())
+
+
+def test_ordered_bits(spark):
+    """The numbers of doubles are their bit patterns: every power of two and its neighbours, zeros, subnormals, infinities and NaN."""
+    import struct
+
+    xs = [f(2.0 ** e) for e in range(-1074, 1024) for f in (lambda x: x, lambda x: math.nextafter(x, 0), lambda x: math.nextafter(x, math.inf), lambda x: 1.37 * x)]
+    xs = [x for x in xs if math.isfinite(x)] + [0.0, math.inf, 5e-324, 1.7976931348623157e308]
+    xs += [-x for x in xs]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", ordered_bits(F.col("x"))).collect()
+    sign = lambda x: -1 if x < 0 else 1
+    assert all(b == sign(x) * struct.unpack("<q", struct.pack("<d", abs(x)))[0] for x, b in got)
+    assert spark.range(1).select(ordered_bits(F.lit(math.nan)), ordered_bits(F.lit(None).cast("double"))).first()[:] == (2 ** 63 - 1, None)
+
+
+def test_quantiles(spark):
+    """Against Spark's own percentile: groups of missing keys, nulls, NaN, zeros of both signs, ties, infinite and close values; several rounds."""
+    g = np.random.default_rng(4)
+    close = [1.0 + i * 2.0 ** -52 for i in range(40)]
+    data = [("n", float(x), int(x * 9)) for x in g.normal(size=300)] + [("t", float(x), None) for x in g.integers(0, 3, 50)] + [("c", x, 2 ** 60) for x in close] + [(None, x, 1) for x in (0.0, -0.0, 3.0, -0.0)]
+    data += [("nan", x, 0) for x in (math.nan, 1.0, math.nan)] + [("none", None, None)] * 3 + [("one", 7.5, -1)] + [("inf", x, 5) for x in (math.inf, 1.0, -math.inf, 2.0, 3.0)] + [("e", 10.0 ** i * (-1) ** i, i) for i in range(-300, 300, 7)]
+    df = spark.createDataFrame(data, "k string, x double, i long").repartition(5)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    want = {}
+    for c in ("x", "i"):
+        for r in df.groupBy("k").agg(F.count(c).alias("n"), F.percentile(F.col(c), F.array(*map(F.lit, shares))).alias("q")).collect():
+            if r["n"]:
+                want[r["k"], c] = (r["n"], r["q"])
+    same = lambda a, b: (a != a and b != b) or a == b or abs(a - b) <= 1e-12 * max(abs(a), abs(b))
+    got = {(r["k"], r["column"]): (r["n"], r["q"]) for r in quantiles(df, ["x", "i"], shares, ["k"]).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and all(map(same, got[k][1], want[k][1])) for k in want)
+    whole = quantile_lists(df.filter("k <> 'nan'"), ["x", "i"], (0.5,))
+    assert same(whole["x"][1][0], df.filter("k <> 'nan'").agg(F.median("x")).first()[0])
+    assert quantile_lists(df.limit(0), ["x"], (0.5,)) == {"x": (0, [None])}
+    med = {r["k"]: tuple(r)[1:] for r in A.aggregate(df, ["k"], [{"column": "x", "func": "median"}, {"column": "i", "func": "count"}]).collect()}
+    assert None not in med and med["none"] == (None, 0) and med["t"][0] == want["t", "x"][1][3]
+    assert A.aggregate(df.limit(0), metrics=[{"column": "x", "func": "median"}]).first()[0] is None
+    assert Q.outliers(df.filter("k = 't'"), columns=["x"]).first()["outliers"] == 0 and Q.outliers(df.filter("k = 'none'"), columns=["x"]).first()[:] == ("x", None, None, 0)
+
+
+def test_quantiles_plan(spark):
+    """No task gets a column: neither percentile nor median stands in a plan by default, and one key's values are dealt over tasks."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    for df in (Q.outliers(events, columns=["value"]), Q.distribution(events, ["value"]), C.histogram(events, "value"), C.box(events, "value", "event_type"), A.aggregate(events, ["event_type"], [{"column": "value", "func": "median"}])):
+        plan = df._jdf.queryExecution().toString().lower()
+        assert "percentile" not in plan and "median(" not in plan
