@@ -86,6 +86,45 @@ def s1_row_numbers(r):
     return files.agg(F.sum("n").alias("rows"), F.sum(F.when((F.col("d") == F.col("m")) & (F.col("l") == 1), F.col("d"))).alias("numbers"))
 
 
+def _quoted_csv(r) -> str:
+    """The documents as CSV: texts with line breaks, commas and quotes, quotes doubled."""
+    docs = r("documents").select("doc_id", F.concat(F.lit('a "b",\n'), F.coalesce("text", F.lit(""))).alias("text"), "n_chars")
+    path = f"{shared_dir(docs.sparkSession)}/tabwork-documents-{uuid.uuid4().hex}"
+    docs.repartition(3, "doc_id").write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@query("""SELECT doc_id, md5('a "b",' || chr(10) || coalesce(text, '')) AS digest, n_chars FROM documents""")
+def s1_quoted_line_breaks(r):
+    return S.read_csv(r("documents").sparkSession, _quoted_csv(r)).select("doc_id", F.md5("text").alias("digest"), F.col("n_chars").cast("long").alias("n_chars"))
+
+
+def _layouts(r) -> str:
+    """Three files of different columns in a folder: nations, regions, and the customers' segments with gaps."""
+    path = f"{shared_dir(r('nation').sparkSession)}/tabwork-layouts-{uuid.uuid4().hex}"
+    c = r("customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal")).alias("amount"))
+    tables = {"nation": r("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), "region": r("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("amount"), F.lit(None).cast("string").alias("empty")), "customer": c}
+    for name, t in tables.items():
+        t.withColumn("kind", F.lit(name)).repartition(1).write.partitionBy("kind").mode("append").option("header", True).csv(path)
+    return path
+
+
+@query("""SELECT 25::BIGINT AS rows, 2::BIGINT AS columns, 0::BIGINT AS missing, 'id:bigint, name:string' AS types, 'id:0, name:0' AS missing_by_column WHERE (SELECT count(*) FROM nation) = 25
+UNION ALL SELECT count(*)::BIGINT, 3, count(*)::BIGINT, 'id:bigint, amount:string, empty:void', 'id:0, amount:0, empty:' || count(*) FROM region
+UNION ALL SELECT count(*)::BIGINT, 3, (count(*) FILTER (c_custkey % 3 <> 0) + count(*) FILTER (c_custkey % 4 = 0))::BIGINT, 'id:bigint, segment:string, amount:double',
+  'id:0, segment:' || count(*) FILTER (c_custkey % 3 <> 0) || ', amount:' || count(*) FILTER (c_custkey % 4 = 0) FROM customer""")
+def s4_file_info(r):
+    """Files of different columns in one inventory."""
+    return S.file_info(r("nation").sparkSession, _layouts(r) + "/*/*.csv").select("rows", "columns", "missing", "types", "missing_by_column")
+
+
+@query("""SELECT n_nationkey::BIGINT AS id, n_name AS name, NULL AS amount, NULL AS segment FROM nation UNION ALL SELECT r_regionkey, NULL, r_name, NULL FROM region
+UNION ALL SELECT c_custkey, NULL, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal::VARCHAR END, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END FROM customer""")
+def s2_load_layouts(r):
+    """Files of different columns as one table; amounts are texts in one file and so in the table."""
+    return S.load_files(r("nation").sparkSession, _layouts(r) + "/*/*.csv").select("id", "name", "amount", "segment")
+
+
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def s5_save(r):
     return r("orders").sparkSession.read.schema(_ORDERS).json(_copied(r, "json"))

@@ -11,28 +11,12 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.rules import one_missing
 from ..operators.combine import stack
+from .csv_files import csv_cells, file_info, load_files, read_csv  # noqa: F401  the readers of this module
 
 CELLS = "file string, sheet string, row int, col int, value string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True) -> DataFrame:
-    """A file or folder of files, with source (file name) and _row_id (order within a source, from 1).
-
-    Rows are numbered by the blocks that tasks read: rows before a block come from the counts of blocks, so a large file is
-    never brought into one task. The files are read twice, once to count.
-    """
-    reader = spark.read.option("header", header)
-    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
-    named = df.select("*", F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    blocks = named.groupBy(F.col("source").alias("_s"), F.col("_block").alias("_b")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = named.join(blocks.withColumn("_before", before), (F.col("source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-    row_id = (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("long")
-    return one_missing(placed.select(*[F.col(f"`{c}`") for c in df.columns], "source", row_id.alias("_row_id")))
-
-
 def load(tables: dict[str, DataFrame], files: list[str] | None = None, common_only: bool = False) -> DataFrame:
     """The chosen tables as one, each row with its source; tables without columns are left out."""
     chosen = {n: t for n, t in tables.items() if (files is None or n in files) and t.columns}

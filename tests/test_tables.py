@@ -13,7 +13,7 @@ from tabwork.functions.rules import one_missing, to_number
 from tabwork.operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, quality as Q, select as P, text as X
 from tabwork.operators.quantiles import ordered_bits, quantile_lists, quantiles
 from tabwork.plans import pipeline as D, table_queries
-from tabwork.sources import tables as S
+from tabwork.sources import csv_files as CSV, tables as S
 from tabwork.streaming.steps import follow, row_steps
 
 SF = "/root/testdata/sf0.001"
@@ -258,3 +258,59 @@ def test_quantiles_plan(spark):
     for df in (Q.outliers(events, columns=["value"]), Q.distribution(events, ["value"]), C.histogram(events, "value"), C.box(events, "value", "event_type"), A.aggregate(events, ["event_type"], [{"column": "value", "func": "median"}])):
         plan = df._jdf.queryExecution().toString().lower()
         assert "percentile" not in plan and "median(" not in plan
+
+
+def _csv_text(rng, rows, columns, eol):
+    """A CSV file by hand: plain, quoted and half-quoted fields, quoted line breaks, blank lines."""
+    kinds = [lambda: "plain", lambda: "", lambda: '""', lambda: '"a,b"', lambda: '"x ""y"" z"', lambda: '"first\nsecond"', lambda: '"\n\n,\n"', lambda: '5" disk', lambda: 'a"b"c', lambda: '"é""\n"', lambda: "7", lambda: '"q"tail', lambda: '"cr\r\nlf"', lambda: '"' + "long\n" * 30 + '"']
+    lines = [",".join(f"c{i}" for i in range(columns))]
+    for _ in range(rows):
+        lines.append(",".join(kinds[rng.integers(len(kinds))]() for _ in range(columns)))
+        if rng.random() < 0.1:
+            lines.append("")
+    return eol.join(lines) + (eol if rng.random() < 0.5 else "")
+
+
+@pytest.mark.parametrize("size", [97, 4096])
+def test_csv_records(spark, tmp_path, size):
+    """Files cut into blocks of a few bytes, in the middle of quoted fields, against Python's csv; rows are numbered in the order of the file."""
+    import csv
+    import io
+
+    rng, want = np.random.default_rng(size), []
+    for f in range(4):
+        text = ("﻿" if f == 2 else "") + _csv_text(rng, 9 * f, 3, "\r\n" if f % 2 else "\n")
+        (tmp_path / f"f{f}.csv").write_bytes(text.encode())
+        # blank lines and lines of one empty field are alike to Python's csv, which gives []
+        rows = [r for r in csv.reader(io.StringIO(text.lstrip("﻿"), newline="")) if r]
+        want += [(f"f{f}.csv", i + 1, [x or None for x in r]) for i, r in enumerate(rows)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", f"{size}b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        got = [(r[0], r[1], r[2]) for r in CSV.records(spark, str(tmp_path)).select("source", "number", CSV.fields("record")).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        cells = CSV.csv_cells(spark, str(tmp_path))
+        assert cells.count() == sum(len(r) for _, _, r in want) and cells.filter("value IS NOT NULL").count() == sum(x is not None for _, _, r in want for x in r)
+        (tmp_path / "open.csv").write_text('a,b\n1,"never closed\n2,3\n')
+        with pytest.raises(ValueError, match="open.csv"):
+            CSV.records(spark, str(tmp_path))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_csv_layouts(spark, tmp_path):
+    """Types of different files meet in the narrowest that holds both; missing cells are counted by file and column; empty files and names."""
+    (tmp_path / "a.csv").write_text("id,x,flag\n1,2,true\n2,,false\n")
+    (tmp_path / "b.csv").write_text("x,id,when,\n2.5,3,2024-01-02,z\n,4,2024-01-02 03:04:05,\n")
+    (tmp_path / "c.csv").write_text("id\n")
+    (tmp_path / "d.csv").write_text("")
+    info = {r["source"]: tuple(r)[2:] for r in CSV.file_info(spark, str(tmp_path)).collect()}
+    assert info == {"a.csv": (2, 3, 1, "id:bigint, x:bigint, flag:boolean", "id:0, x:1, flag:0"), "b.csv": (2, 4, 2, "x:double, id:bigint, when:timestamp, _c3:string", "x:1, id:0, when:0, _c3:1"), "c.csv": (0, 1, 0, "id:void", "id:0")}
+    out = CSV.load_files(spark, str(tmp_path))
+    assert out.dtypes == [("id", "bigint"), ("x", "double"), ("flag", "boolean"), ("when", "timestamp"), ("_c3", "string"), ("source", "string"), ("_row_id", "bigint")]
+    assert [tuple(r) for r in out.orderBy("id").select("id", "x", "flag", "_c3", "_row_id").collect()] == [(1, 2.0, True, None, 1), (2, None, False, None, 2), (3, 2.5, None, "z", 1), (4, None, None, None, 2)]
+    (tmp_path / "c.csv").unlink()
+    assert CSV.load_files(spark, str(tmp_path), True).columns == ["id", "x", "source", "_row_id"]
+    assert rows(CSV.read_csv(spark, str(tmp_path / "a.csv"), header=False).select("_c0", "_c2", "_row_id")) == [("1", "true", 2), ("2", "false", 3), ("id", "flag", 1)]
