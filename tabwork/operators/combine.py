@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rules import first_known, numeric_columns, require, text_columns
@@ -21,8 +22,16 @@ def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return l.join(r, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
-def auto_key(left: DataFrame, right: DataFrame, exact: bool = False) -> str:
-    """The common column, a non-numeric one if there is any, with most distinct values per row of the left table; ties by its column order. One job."""
+#: relative standard error of the sketches that narrow the choice of a key, and how many of these count as certain
+SKETCH_ERROR, CERTAIN = 0.02, 6
+
+
+def auto_key(left: DataFrame, right: DataFrame, exact: bool = True) -> str:
+    """The common column, a non-numeric one if there is any, with most distinct values per row of the left table; ties by its column order.
+
+    One job sketches all candidates. Those whose range of error reaches that of the best are counted exactly by a second one,
+    as rows of (column, value); exact=False takes the sketches alone.
+    """
     common = [c for c in left.columns if c in right.columns]
     if not common:
         raise ValueError("no common column to join on; stack the tables instead")
@@ -30,9 +39,17 @@ def auto_key(left: DataFrame, right: DataFrame, exact: bool = False) -> str:
     candidates = [c for c in common if c not in numbers] or common
     if len(candidates) == 1:
         return candidates[0]
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    found = left.agg(*[distinct(F.col(c)).alias(c) for c in candidates]).first()
-    return max(candidates, key=lambda c: found[c])
+    found = left.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), SKETCH_ERROR).alias(str(i)) for i, c in enumerate(candidates)]).first()
+    sketch = dict(zip(candidates, found))
+    if exact:
+        wide = CERTAIN * SKETCH_ERROR
+        least = max(sketch.values()) * (1 - wide) / (1 + wide)
+        candidates = [c for c in candidates if sketch[c] >= least]
+        if len(candidates) > 1:
+            values = left.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(candidates)])))
+            counts = {r["c"]: r["n"] for r in values.groupBy("c").agg(F.count_distinct("v").alias("n")).collect()}
+            sketch = {c: counts.get(i, 0) for i, c in enumerate(candidates)}
+    return max(candidates, key=lambda c: sketch[c])
 
 
 def auto_join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -116,27 +133,43 @@ def stack(tables: list[DataFrame], common_only: bool = False) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def placed(df: DataFrame, number: int) -> DataFrame:
+    """df with _at: where a row stands, first by the number of its table, then by its place in its file.
+
+    The place is _row_id (and source), where readers have put it, or the file and the row's index in it, which Spark knows of
+    Parquet tables and of selections from them; it is the same however the table is cut into tasks. Other tables have the order
+    of this run.
+    """
+    table = F.lit(number).alias("table")
+    if "_row_id" in df.columns:
+        return df.withColumn("_at", F.struct(table, *[F.col(c) for c in ("source", "_row_id") if c in df.columns]))
+    try:
+        return df.withColumn("_at", F.struct(table, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return df.withColumn("_at", F.struct(table, F.monotonically_increasing_id().alias("row")))
+
+
 def merge_same_layout(tables: list[DataFrame], keys: list[str] | None = None, labels: tuple[str, ...] | None = None) -> DataFrame:
     """Stack the common columns, drop subtotal rows, and bring rows of equal keys together: numbers by mean, but those that
-    never differ within a group (codes) and other text by their first value. Missing keys are a group. Two small jobs
-    look at the data: which columns are codes, and which averages are whole.
+    never differ within a group (codes) and other text by their first value, in the order of the tables and their rows
+    (`placed`). Missing keys are a group. Two small jobs look at the data: which columns are codes, and which averages are whole.
     """
-    rows = drop_subtotals(stack(tables, True), labels)
-    numbers = numeric_columns(rows)
-    keys = keys or text_columns(rows)
-    values = [c for c in rows.columns if c not in keys]
+    own = ("_row_id", "source") if all("_row_id" in t.columns for t in tables) else ()
+    common = [c for c in tables[0].columns if c not in own and all(c in t.columns for t in tables)]
+    ordered = [placed(t, i) for i, t in enumerate(tables)]
+    # rows are ordered within a table by what it has; the kinds of places may differ from table to table
+    at = lambda t: F.struct(F.col("_at.table").alias("table"), *[(F.col(f"_at.{c}") if c in t.schema["_at"].dataType.names else F.lit(None)).cast(kind).alias(c) for c, kind in (("source", "string"), ("_row_id", "long"), ("file", "string"), ("row", "long"))])
+    rows = drop_subtotals(stack([t.select(*common, at(t).alias("_at")) for t in ordered]), labels)
+    numbers = [c for c in numeric_columns(rows) if c in common]
+    keys = keys or [c for c in text_columns(rows) if c in common]
+    values = [c for c in common if c not in keys]
     if not values:
-        return rows.dropDuplicates(keys)
-    # rows read from files carry their place; others have the order of this run
-    order = [F.col("_row_id")] if "_row_id" in rows.columns else [F.monotonically_increasing_id()]
-    if "_row_id" in rows.columns and "source" in rows.columns:
-        order = [F.col("source"), *order]
-    rows = rows.withColumn("_at", F.struct(*order))
+        return rows.select(*common).dropDuplicates(keys)
     numeric = [c for c in values if c in numbers]
     spread = rows.groupBy(*keys).agg(*[F.min(c).eqNullSafe(F.max(c)).alias(c) for c in numeric])
     same = spread.agg(*[F.coalesce(F.bool_and(c), F.lit(True)).alias(c) for c in numeric]).first() if numeric else {}
     made = [F.avg(c).alias(c) if c in numeric and not same[c] else first_known(c, "_at").alias(c) for c in values]
-    merged = rows.groupBy(*keys).agg(*made).select(*[c for c in tables[0].columns if c in rows.columns])
+    merged = rows.groupBy(*keys).agg(*made).select(*common)
     return whole_to_long(merged)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.folders import saved
 from ..functions.rules import NUMBER, numeric_columns, stripped, text_columns, to_number
 
 #: Labels of subtotal rows.
@@ -51,22 +52,51 @@ def named_table(cells: DataFrame, most: int = 15) -> DataFrame:
     return body.join(names, ["source", "col"]).select("source", "row", "name", "value")
 
 
-def fill_down(df: DataFrame, source: str, order: str, anchor: str | None = None, columns: list[str] | None = None, within_group: bool = False) -> DataFrame:
+def fill_down(df: DataFrame, source: str, order: str, anchor: str | None = None, columns: list[str] | None = None, within_group: bool = False, blocks: int | None = None) -> DataFrame:
     """Merged cells: the anchor is filled from above; other text columns only from earlier continuation rows (rows whose
     anchor was blank), or with within_group from any earlier row of the anchor's group.
+
+    A segmented scan on two levels, so that a source of any length is spread over tasks: rows are dealt into blocks by range of
+    (source, order), and filled within their block. What a block hands on (the last known value of each column, and whether an
+    anchor began a new group) is one row per source and block; these rows are scanned in order, and each block takes what comes
+    in where it has nothing of its own. One job writes the blocks.
     """
     texts = [c for c in text_columns(df) if c not in (source, order)]
     anchor = anchor or texts[0]
     others = columns if columns is not None else [c for c in texts if c != anchor]
     empty = lambda c: F.when(stripped(c) == "", None).otherwise(F.col(c))
-    df = df.withColumns({c: empty(c) for c in (anchor, *others)}).withColumn("_more", F.col(anchor).isNull())
-    group = F.count(anchor).over(Window.partitionBy(source).orderBy(order))
-    df = df.withColumn("_group", group)
-    keys = [source, "_group"] if within_group else [source, "_more"]
-    down = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = {c: F.coalesce(c, F.when(F.col("_more") | F.lit(within_group), F.last(c, ignorenulls=True).over(down))) for c in others}
-    whole = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns(filled | {anchor: F.last(anchor, ignorenulls=True).over(whole)}).drop("_more", "_group")
+    rows = df.withColumns({c: empty(c) for c in (anchor, *others)}).withColumn("_more", F.col(anchor).isNull())
+    rows = saved(rows.repartitionByRange(*([blocks] if blocks else []), source, order).withColumn("_block", F.spark_partition_id()), "fill-down")
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy(source, "_block").orderBy(order)
+    # what other rows may take: values of continuation rows, or all values of a group
+    given = {c: F.col(c) if within_group else F.when(F.col("_more"), F.col(c)) for c in others}
+    rows = rows.withColumn("_group", F.count(anchor).over(inside))
+    local = {f"_l_{c}": last(g, Window.partitionBy(source, "_block", "_group").orderBy(order) if within_group else inside) for c, g in given.items()}
+    rows = rows.withColumns(local | {"_l_": last(F.col(anchor), inside)})
+
+    newest = lambda c, known: F.max(F.when(known, F.struct(F.col(order).alias("o"), c.alias("v"))))
+    ends = rows.groupBy(source, "_block").agg(newest(F.col(anchor), F.col(anchor).isNotNull()).alias("_a"), *[newest(g, g.isNotNull()).alias(f"_e_{c}") for c, g in given.items()])
+    by_block = Window.partitionBy(F.col(source)).orderBy("_block")
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    if within_group:
+        # a block with an anchor begins a group and hands on what comes after it; blocks without one hand on what they took
+        ends = ends.withColumn("_epoch", F.count("_a").over(by_block))
+        tail = lambda c: F.when(F.col("_a").isNull() | (F.struct(F.col(f"_e_{c}.o")) >= F.struct(F.col("_a.o"))), F.col(f"_e_{c}.v"))
+        ends = ends.withColumns({f"_t_{c}": last(tail(c), Window.partitionBy(source, "_epoch").orderBy("_block")) for c in others})
+        carried = {c: F.lag(f"_t_{c}").over(by_block) for c in others}
+    else:
+        carried = {c: F.last(F.col(f"_e_{c}.v"), ignorenulls=True).over(before) for c in others}
+    carried = ends.select(F.col(source).alias("_s"), F.col("_block").alias("_b"), F.last("_a.v", ignorenulls=True).over(before).alias("_c_"), *[x.alias(f"_c_{c}") for c, x in carried.items()])
+    both = rows.join(carried, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
+
+    def filled(c: str) -> Column:
+        if within_group:
+            return F.coalesce(c, f"_l_{c}", F.when(F.col("_group") == 0, F.col(f"_c_{c}")))
+        return F.coalesce(c, F.when(F.col("_more"), F.coalesce(f"_l_{c}", f"_c_{c}")))
+
+    made = {anchor: F.coalesce("_l_", "_c_")} | {c: filled(c) for c in others}
+    return both.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in df.columns])
 
 
 def is_subtotal(columns: list[str], labels: tuple[str, ...] | None = None) -> Column:

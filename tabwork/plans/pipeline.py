@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..operators import aggregate as agg, charts, filters, select as cols
 from ..sources import tables as src
@@ -81,15 +81,28 @@ def problems(steps: list, tables: dict[str, DataFrame]) -> list[str]:
     return found
 
 
-def run(steps: list, tables: dict[str, DataFrame]) -> tuple[DataFrame, list[dict]]:
-    """(result, log): the steps as one lazy DataFrame, and name and columns after each. A step is a dict or a function of a DataFrame."""
+def run(steps: list, tables: dict[str, DataFrame], counted: bool = False) -> tuple[DataFrame, list[dict]]:
+    """(result, log): the steps as one lazy DataFrame, and name and columns after each. A step is a dict or a function of a DataFrame.
+
+    With `counted` the rows after each step are counted while the result is worked out, by no job of their own: `row_counts`
+    gives them after the first action. Filters are not pushed below such a count, so it is left to the caller to ask for it.
+    """
     wrong = problems(steps, tables)
     if wrong:
         raise ValueError("; ".join(wrong))
     df, log = None, []
-    for step in steps:
+    for i, step in enumerate(steps):
         df = step(df) if callable(step) else _step(df, step, tables)
         log.append({"step": getattr(step, "__name__", "function") if callable(step) else step["op"], "columns": df.columns})
+        if counted:
+            seen = Observation(f"step-{i}")
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+            log[-1]["observed"] = seen
         if isinstance(step, dict) and step["op"] == "save":
             src.save(df, step["path"], step.get("format", "csv"), step.get("mode", "errorifexists"))
     return df, log
+
+
+def row_counts(log: list[dict]) -> list[int]:
+    """Rows after each step of a counted run, once its result (or its save) has been worked out."""
+    return [entry["observed"].get["rows"] for entry in log]

@@ -409,6 +409,13 @@ def j2_auto_join_two_keys(r):
     return J.auto_join(left, c.select(F.lit("none").alias("segment"), F.col("c_name").alias("name"), (F.col("c_custkey") % 5).alias("n")))
 
 
+@query("SELECT c_custkey::VARCHAR AS id_x, c_name AS name, CASE WHEN c_custkey <> 2 THEN c_custkey::VARCHAR ELSE '1' END AS id_y FROM customer")
+def j2_auto_join_close_keys(r):
+    """Two keys that differ in one value of all: counted exactly, where sketches cannot tell."""
+    c = r("customer").select(F.when(F.col("c_custkey") != 2, F.col("c_custkey")).otherwise(1).cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("own"))
+    return J.auto_join(c, c.select("id", "name")).select(F.col("own").alias("id_x"), "name", "id_y")
+
+
 @query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region, r_name AS region_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def j5_combine_join(r):
     """Tables of different layouts are joined on their common column."""
@@ -460,6 +467,14 @@ def n3_fill_down(r):
     return N.fill_down(e, "user_id", "event_id", "anchor", ["other"])
 
 
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS a, CASE WHEN event_id % 2 = 0 THEN event_type END AS o FROM events),
+g AS (SELECT *, count(a) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM e)
+SELECT user_id, event_id, last_value(a IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS anchor, last_value(o IGNORE NULLS) OVER (PARTITION BY user_id, k ORDER BY event_id) AS other FROM g""")
+def n3_fill_down_groups(r):
+    e = r("events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("anchor"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("other"))
+    return N.fill_down(e, "user_id", "event_id", "anchor", ["other"], within_group=True)
+
+
 # ---- grids with the operators' own labels ----
 _LABELS = ("소계", "소 계", " 합  계\t", "총 계", "내부흡수액", "계", "총계(원)", "Total 2020", "Zwischensumme", "plain", "a total of", "합", "\t", " \u3000")
 _LABELLED = "(SELECT c_custkey, [" + ", ".join("'" + x + "'" for x in _LABELS) + f"][1 + c_custkey % {len(_LABELS)}] AS label FROM customer)"
@@ -800,6 +815,16 @@ def d1_pipeline(r):
     return rounded(D.run(steps, _by_status(r))[0], "net_sum", to=2)
 
 
+@query("""SELECT unnest(['load', 'filter', 'aggregate']) AS step, unnest([count(*) FILTER (o_orderstatus = 'F'), count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 1000),
+  count(DISTINCT CASE WHEN o_orderstatus = 'F' AND o_totalprice > 1000 THEN o_orderpriority END)])::BIGINT AS rows FROM orders""")
+def d1_row_counts(r):
+    """Rows after each step, counted while the result is worked out."""
+    steps = [{"op": "load", "files": ["F"]}, {"op": "filter", "column": "o_totalprice", "operator": "gt", "value": 1000}, {"op": "aggregate", "group_by": ["o_orderpriority"], "metrics": [{"column": "o_totalprice", "func": "sum"}]}]
+    out, log = D.run(steps, _by_status(r), counted=True)
+    out.write.format("noop").mode("overwrite").save()
+    return r("orders").sparkSession.createDataFrame(list(zip([e["step"] for e in log], D.row_counts(log))), "step string, rows long")
+
+
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'und') OR contains(lower(text), 'mehr') THEN 'union' WHEN contains(lower(text), 'the') THEN 'join' ELSE 'plain' END AS kind FROM documents")
 def t9_merge_kind(r):
     return r("documents").select("doc_id", X.merge_kind(F.col("text"), ["und", "mehr"], ["the"]).alias("kind"))

@@ -314,3 +314,61 @@ def test_csv_layouts(spark, tmp_path):
     (tmp_path / "c.csv").unlink()
     assert CSV.load_files(spark, str(tmp_path), True).columns == ["id", "x", "source", "_row_id"]
     assert rows(CSV.read_csv(spark, str(tmp_path / "a.csv"), header=False).select("_c0", "_c2", "_row_id")) == [("1", "true", 2), ("2", "false", 3), ("id", "flag", 1)]
+
+
+def _fill_down_by_window(rows, within_group):
+    """Row by row: source, order, anchor, a, b."""
+    out = []
+    for source in dict.fromkeys(r[0] for r in rows):
+        top, held = None, [None, None]
+        for _, o, anchor, *others in sorted((r for r in rows if r[0] == source), key=lambda r: r[1]):
+            more = anchor is None
+            top = top if more else anchor
+            if within_group and not more:
+                held = [None, None]
+            made = []
+            for i, x in enumerate(others):
+                if within_group or more:
+                    held[i] = x if x is not None else held[i]
+                    made.append(held[i])
+                else:
+                    made.append(x)
+            out.append((source, o, top, *made))
+    return out
+
+
+@pytest.mark.parametrize("within_group", [False, True])
+@pytest.mark.parametrize("blocks", [1, 7, 40])
+def test_fill_down(spark, within_group, blocks):
+    """Random grids, one source over many blocks, long runs without an anchor or a value; equal to filling row by row."""
+    rng = np.random.default_rng(blocks)
+    pick = lambda p: "".join(rng.choice(list("xyz"), 2)) if rng.random() < p else None
+    data = [(f"s{k}" if k else None, i * 3, pick(0.03 if k % 2 else 0.4), pick(0.05), pick(0.5)) for k, n in enumerate((5, 400, 60, 1)) for i in range(n)]
+    df = spark.createDataFrame(data, "source string, r long, a string, b string, c string").withColumn("n", F.col("r") * 2).repartition(5)
+    out = N.fill_down(df.withColumn("b", F.coalesce("b", F.lit(" "))), "source", "r", "a", None, within_group, blocks)
+    assert out.columns == df.columns and rows(out.drop("n")) == sorted(_fill_down_by_window(data, within_group), key=repr)
+
+
+def test_merge_order(spark, tmp_path):
+    """First values follow the order of files and rows, however the tables are cut into tasks."""
+    t = spark.range(3000).select((F.col("id") % 7).cast("string").alias("k"), F.when(F.col("id") > 20, F.concat(F.lit("v"), F.col("id").cast("string"))).alias("first"), (F.col("id") % 5).alias("n"))
+    t.coalesce(1).write.option("parquet.block.size", 2000).parquet(str(tmp_path / "t"))
+    found = set()
+    for size in ("1k", "8k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        table = spark.read.parquet(str(tmp_path / "t"))
+        found.add(tuple(rows(J.merge_same_layout([table.filter("n > 0"), table.filter("n = 0").select("first", "k", "n")], ["k"]))))
+        assert table.rdd.getNumPartitions() > 1 or size == "64m"
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found) == 1
+    want = {str(k): next(f"v{i}" for i in range(21, 3000) if i % 7 == k and i % 5 > 0) for k in range(7)}
+    assert {r[0]: r[1] for r in found.pop()} == want
+
+
+def test_counted_steps(spark):
+    """Counts of steps come from the one action: the plan reads the table once, and no job is added."""
+    t = {"t": spark.read.parquet(f"{SF}/part.parquet")}
+    out, log = D.run([{"op": "load"}, {"op": "filter", "column": "p_size", "operator": "gte", "value": 40}, {"op": "select", "columns": ["p_size"]}], t, counted=True)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    n = len(out.collect())
+    assert D.row_counts(log) == [t["t"].count(), n, n] and 0 < n < t["t"].count()
