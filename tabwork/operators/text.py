@@ -6,24 +6,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .similar import bigrams, gram_weights, similar_texts  # noqa: F401  similar_texts is an operator of this module
+
 #: pairs of blocks are spread over up to so many tasks
 MOST_TASKS = 10_000
 FENCE = r"(?s)```[A-Za-z0-9_+-]*[ \t]*\n(.*?)```"
 
 
-def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, gram, tf: character pairs, case and spaces kept."""
-    # those that begin at even places, and those at odd ones
-    even, odd = (F.regexp_extract_all(t, F.lit("(?s).."), 0) for t in (F.col(text), F.substring(text, 2, 2147483647)))
-    grams = df.select(key, F.explode(F.concat(even, odd)).alias("gram"))
-    return grams.groupBy(key, "gram").agg(F.count("*").alias("tf"))
-
-
 def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, gram, w: tf * (ln((n + 1) / (df + 1)) + 1), each text scaled to length 1."""
     tf = bigrams(df, key, text)
-    idf = tf.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(df.agg(F.count("*").alias("n")))).select("gram", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    raw = tf.join(idf, "gram").select(key, "gram", "idf", (F.col("tf") * F.col("idf")).alias("x"))
+    raw = tf.join(gram_weights(tf, df), "gram").select(key, "gram", "idf", (F.col("tf") * F.col("idf")).alias("x"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return raw.join(norm, key).select(key, "gram", "idf", (F.col("x") / F.col("norm")).alias("w"))
 
@@ -33,69 +26,6 @@ def _joined(parts: list[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
     return pd.concat(parts) if parts else pd.DataFrame(columns=columns, dtype=object)
 
 
-def similar_texts(corpus: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 2, category: str | None = None, bonus: float = 0.1, block: int = 4096) -> DataFrame:
-    """query, rank, match, score: cosine of the weights of the corpus, and a bonus for an equal category; pairs that share no gram do not arise.
-
-    The weights come from joins and sums. Both sides are counted and dealt into blocks of about `block` texts; each pair of blocks is
-    one group that adds up the weights of shared grams and gives its best k a query, so pairs are not shuffled and no gram is a hot
-    key. Scores are ranked to nine digits.
-    """
-    index = tfidf(corpus, key, text)
-    asked = bigrams(queries, query_key, query_text).join(index.select("gram", "idf").distinct(), "gram").select(F.col(query_key).alias("query"), "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    n_c, n_q = (max(1, -(-df.count() // block)) for df in (corpus, queries))
-    # two code points of 21 bits
-    gram = F.shiftleft(F.ascii(F.substring("gram", 1, 1)).cast("long"), 21) + F.ascii(F.substring("gram", 2, 1))
-
-    def dealt(weights: DataFrame, df: DataFrame, df_key: str, name: str, own: int, other: int, mine: str, theirs: str) -> DataFrame:
-        texts = weights.groupBy(name).agg(F.collect_list(F.struct(gram.alias("g"), "w")).alias("_p"))
-        if category:
-            texts = texts.join(df.select(F.col(df_key).alias(name), F.col(category).cast("string").alias("_kind")), name)
-        else:
-            texts = texts.withColumn("_kind", F.lit(None).cast("string"))
-        return texts.select(F.pmod(F.xxhash64(name), F.lit(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs),
-                            name, F.col("_p.g").alias("_g"), F.col("_p.w").alias("_w"), "_kind")
-
-    def solve(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        data = data.sort_values("match", kind="stable")
-        ids, kinds = data["match"].to_numpy(), data["_kind"].to_numpy()
-        if len(data) and len(asked):
-            rows, grams, weights = np.repeat(np.arange(len(data)), [len(g) for g in data["_g"]]), np.concatenate(list(data["_g"])), np.concatenate(list(data["_w"]))
-            order = np.argsort(grams, kind="stable")
-            rows, grams, weights = rows[order], grams[order], weights[order]
-            for at in range(0, len(asked), 256):
-                some = asked.iloc[at:at + 256]
-                wanted = np.unique(np.concatenate(list(some["_g"])))
-                q = np.zeros((len(some), len(wanted)))
-                for i, (g, w) in enumerate(zip(some["_g"], some["_w"])):
-                    q[i, np.searchsorted(wanted, g)] = w / np.sqrt((w * w).sum())
-                scores = np.zeros((len(some), len(data)))
-                for part in np.split(np.arange(len(wanted)), range(2048, len(wanted), 2048)):
-                    own = wanted[part]
-                    lo, hi = np.searchsorted(grams, own[0]), np.searchsorted(grams, own[-1], "right")
-                    place = np.searchsorted(own, grams[lo:hi])
-                    known = own[place] == grams[lo:hi]
-                    dense = np.zeros((len(own), len(data)))
-                    dense[place[known], rows[lo:hi][known]] = weights[lo:hi][known]
-                    scores += q[:, part] @ dense
-                for i, (own, kind) in enumerate(zip(some["query"], some["_kind"])):
-                    hits = np.flatnonzero(scores[i] > 0)
-                    s = scores[i][hits] + (np.where(kinds[hits] == kind, bonus, 0.0) if kind is not None else 0.0)
-                    level = np.rint(s * 1e9).astype(np.int64)
-                    best = np.argsort(-level, kind="stable")[:k]
-                    parts.append(pd.DataFrame({"query": own, "match": ids[hits[best]], "score": s[best], "level": level[best]}))
-        return _joined(parts, ["query", "match", "score", "level"])
-
-    kind_of = lambda df, c: df.schema[c].dataType.simpleString()
-    # as many tasks as groups: the groups are small, the work in them is not
-    tasks = min(n_c * n_q, MOST_TASKS)
-    left = dealt(index.select(F.col(key).alias("match"), "gram", "w"), corpus, key, "match", n_c, n_q, "_c", "_q").repartition(tasks, "_c", "_q").groupBy("_c", "_q")
-    right = dealt(asked, queries, query_key, "query", n_q, n_c, "_q", "_c").repartition(tasks, "_c", "_q").groupBy("_c", "_q")
-    local = left.cogroup(right).applyInPandas(solve, f"query {kind_of(queries, query_key)}, match {kind_of(corpus, key)}, score double, level long")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("level"), "match"))
-    return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "match", "score")
-
-
 def similar_vectors(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 2, category: str | None = None, bonus: float = 0.1, block: int = 8192) -> DataFrame:
     """query, rank, match, score by cosine over ready vectors, any number of queries. Both sides are counted and dealt into blocks of
     about `block` rows; each pair of blocks is one group that gives its best k a query. The work is queries times vectors.

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwork.functions.rules import one_missing, to_number
-from tabwork.operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, quality as Q, select as P, text as X
+from tabwork.operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, quality as Q, select as P, similar, text as X
 from tabwork.operators.quantiles import ordered_bits, quantile_lists, quantiles
 from tabwork.plans import pipeline as D, table_queries
 from tabwork.sources import csv_files as CSV, tables as S
@@ -372,3 +372,26 @@ def test_counted_steps(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     n = len(out.collect())
     assert D.row_counts(log) == [t["t"].count(), n, n] and 0 < n < t["t"].count()
+
+
+def test_text_index():
+    """Blocks of texts against all pairs: the same best scores, and less than half of the postings read where few texts are near."""
+    rng, share = np.random.default_rng(7), []
+    themes = [rng.choice(2000, 60, replace=False) for _ in range(40)]
+    grams = [np.unique(np.concatenate([rng.choice(themes[i % 40], 25), rng.integers(0, 50, 6)])) for i in range(1200)]
+    weights = [rng.random(len(g)) * np.where(g < 50, 0.1, 1.0) + 0.05 for g in grams]
+    dense = np.zeros((1200, 2000))
+    for i, (g, w) in enumerate(zip(grams, weights)):
+        dense[i, g] = w / np.sqrt((w * w).sum())
+    blocks = [similar.make_block(grams[at:at + 300], weights[at:at + 300]) for at in range(0, 1200, 300)]
+    for q in range(0, 1200, 60):
+        levels = np.rint(dense @ dense[q] * similar.SCALE)
+        want, least, got, read = sorted(levels[levels > 0])[-2:], 1, [], 0
+        for b in blocks:
+            _, found, n = similar.search_block(b, 300, grams[q], dense[q, grams[q]], None, least)
+            got = sorted([*got, *found])[-2:]
+            least = int(got[0]) if len(got) == 2 else 1
+            read += n
+        assert all(abs(a - b) <= 1 for a, b in zip(got, want)) and len(got) == 2
+        share.append(read / sum(int(np.isin(g, grams[q]).sum()) for g in grams))
+    assert np.mean(share) < 0.5
