@@ -14,6 +14,7 @@ from tabwork.operators import aggregate as A, charts as C, combine as J, filters
 from tabwork.operators.quantiles import ordered_bits, quantile_lists, quantiles
 from tabwork.plans import pipeline as D, table_queries
 from tabwork.sources import csv_files as CSV, tables as S
+from tabwork.streaming import runs as R
 from tabwork.streaming.steps import follow, row_steps
 
 SF = "/root/testdata/sf0.001"
@@ -395,3 +396,47 @@ def test_text_index():
         assert all(abs(a - b) <= 1 for a, b in zip(got, want)) and len(got) == 2
         share.append(read / sum(int(np.isin(g, grams[q]).sum()) for g in grams))
     assert np.mean(share) < 0.5
+
+
+def _streamed(spark, out, files, folder, name):
+    """Rows of a stream that is given its files one after the other."""
+    q = out.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(folder) + "-state").start()
+    try:
+        for i, f in enumerate(files):
+            f.coalesce(1).write.mode("append").parquet(str(folder))
+            q.processAllAvailable()
+        return spark.table(name).collect()
+    finally:
+        q.stop()
+
+
+def test_run_logs_on_streams(spark, tmp_path):
+    """Chains, rates and durations of a stream in three parts, out of order, equal those of the whole table."""
+    e = spark.read.parquet(f"{SF}/events.parquet").filter("user_id < 12").select("user_id", "event_id", "event_type", (F.col("event_type") != "error").alias("ok"))
+    parts = [e.filter(F.col("event_id") % 3 == k) for k in (1, 0, 2)]
+    (tmp_path / "runs").mkdir()
+    got = _streamed(spark, R.chains(follow(spark, str(tmp_path / "runs"), e.schema), "user_id", "event_id", "event_type", "ok"), parts, tmp_path / "runs", "chains")
+    newest = {}
+    for r in got:
+        newest[r["user_id"]] = max(newest.get(r["user_id"], r), r, key=lambda x: x["seen"])
+    assert {(k, r["chain"]) for k, r in newest.items()} == {tuple(r) for r in X.chains(e, "user_id", "event_id", "event_type", "ok").collect()}
+    assert {(k, round(r["success_rate"], 9)) for k, r in newest.items()} == {(r[0], round(r[1], 9)) for r in X.success_rate(e, "ok", "user_id").collect()}
+    s = e.select(F.col("user_id").alias("run"), F.col("event_type").alias("stage"), F.col("event_id").alias("started_at"), (F.col("event_id") % 50).alias("duration_ms"))
+    (tmp_path / "stages").mkdir()
+    got = _streamed(spark, R.stage_durations(follow(spark, str(tmp_path / "stages"), s.schema)), [s.filter(F.col("started_at") % 2 == k) for k in (1, 0)], tmp_path / "stages", "stages")
+    newest = {}
+    for r in got:
+        k = (r["run"], r["stage"])
+        newest[k] = max(newest.get(k, r), r, key=lambda x: x["seen"])
+    assert {(*k, r["duration_ms"], r["total_ms"]) for k, r in newest.items()} == {tuple(r) for r in X.stage_durations(s).collect()}
+
+
+def test_late_runs(spark, tmp_path):
+    """A session without news is closed by a timer, and rows behind the watermark do not open it again."""
+    at = lambda rows: spark.createDataFrame([(u, i, "t", True, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)) for u, i, h in rows], "u string, i long, l string, ok boolean, ts timestamp")
+    parts = [at([("a", 1, 0), ("a", 2, 0.1)]), at([("b", 3, 9)]), at([("b", 4, 9.1)]), at([("a", 5, 0.2), ("b", 6, 9.2)])]
+    (tmp_path / "late").mkdir()
+    out = R.chains(follow(spark, str(tmp_path / "late"), parts[0].schema), "u", "i", "l", "ok", time="ts", late="1 hour")
+    got = [(r["u"], r["chain"], r["runs"], r["closed"]) for r in _streamed(spark, out, parts, tmp_path / "late", "late")]
+    assert [x for x in got if x[0] == "a"] == [("a", "t → t", 2, False), ("a", "t → t", 2, True)]
+    assert [x for x in got if x[0] == "b"] == [("b", " → ".join("t" * n), n, False) for n in (1, 2, 3)]
