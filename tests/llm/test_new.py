@@ -229,3 +229,50 @@ def test_knn_large(spark):
             knn_join.knn_join(spark.createDataFrame([(0, [x, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
     fits = knn_join.knn_join(spark.createDataFrame([(0, [2.5e6, 1.0]), (1, [-2.5e6, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
     assert [tuple(r) for r in fits] == [(0, 1, 1, -(2_560_000_000 ** 2) + 1024 ** 2)]
+
+
+def test_packing_bins(spark):
+    """A plain best fit with few open bins, which closes the fullest when there are too many: every piece in the same bin at the same place."""
+    from tabwork.llm import packing
+
+    rng = np.random.default_rng(5)
+    for length, most in ((64, 3), (1024, 8), (100, 1)):
+        bins, open_, made, places = packing.OpenBins(length, most), [], 0, []
+        for size in rng.integers(1, length + 1, 3000).tolist():
+            # of bins with equal room the one that got it last; open_ holds (room, when it got it, bin)
+            fits = [b for b in open_ if b[0] >= size]
+            if fits:
+                best = min(fits, key=lambda b: (b[0], -b[1]))
+                open_.remove(best)
+                room, own = best[0], best[2]
+            else:
+                room, own, made = length, made, made + 1
+            places.append((own, length - room))
+            if room > size:
+                if len(open_) == most:
+                    open_.remove(min(open_, key=lambda b: (b[0], -b[1])))
+                open_.append((room - size, len(places), own))
+            assert bins.put(size) == places[-1]
+
+
+def test_toxicity_windows():
+    """The score of a text is that of its worst window: a plain loop over all windows, one at a time, long and empty texts included."""
+    from tabwork.llm import toxicity
+
+    rng, how = np.random.default_rng(2), toxicity.Network(least_steps=30, epochs=1)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 5, 39, 40, 41, 60, 61, 200, 997)] + ["", " \n"]
+    model = toxicity.train([" ".join([*rng.choice(words, 30), "vile" if i % 2 else "kind"]) for i in range(40)], [i % 2 for i in range(40)], how)
+    got = model.score(texts)
+    for t, s in zip(texts, got):
+        ws, worst = toxicity.words_of(t), -np.inf
+        for a, b in toxicity.windows(len(ws), how):
+            own = ws[a:b]
+            ids = np.array([model.vocabulary.get(w, 0) for w in own], dtype=np.int64)
+            x = np.zeros((how.window, 1, 6 * how.hidden), np.float32)
+            if own:
+                x[:len(own), 0] = model.project(ids, toxicity.char_features(own, how))
+            worst = max(worst, float(model.forward(x, (np.arange(how.window) < len(own))[:, None])[0][0]))
+        assert abs(s - 1 / (1 + np.exp(-worst))) < 1e-4
+        # every word is in a window
+        assert not ws or {i for a, b in toxicity.windows(len(ws), how) for i in range(a, b)} == set(range(len(ws)))
