@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.rules import first_known, numeric_columns, require, text_columns
 from .aggregate import FUNCS
 from .grid import drop_subtotals, whole_to_long
+from .labels import match_labels  # noqa: F401
 
 
 def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -77,55 +78,6 @@ def combine(tables: list[DataFrame], keys: list[str] | None = None) -> DataFrame
     return reduce(auto_join, tables)
 
 
-def match_labels(left: DataFrame, right: DataFrame, left_label: str, right_label: str, right_order: str) -> DataFrame:
-    """Each left label with the first right label it contains or that contains it (case ignored), else within one edit of its first 20 characters.
-
-    Labels meet by equal keys: their substrings of the other side's lengths, and what is left of them without one character. Of the right
-    labels that share a key only the first stays, so both sides may be of any size; a label's keys grow with the square of its length.
-    Of right labels with equal order the smaller is first. Null labels match nothing. One small job collects the lengths of both sides' labels.
-    """
-    def labels(df: DataFrame, label: str, *more: Column) -> DataFrame:
-        return df.filter(F.col(label).isNotNull()).select(F.col(label).alias("_label"), F.lower(label).alias("_low"), F.char_length(label).alias("_n"), *more)
-
-    def lengths(df: DataFrame) -> list[int]:
-        return sorted(r[0] for r in df.select(F.char_length("_low")).distinct().collect())
-
-    def parts(sizes: list[int]) -> Column:
-        fit = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.char_length("_low"))
-        return F.array_distinct(F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.char_length("_low") - n + 1), lambda i: F.substring("_low", i, n)))))
-
-    a, b = labels(left.select(left_label).distinct(), left_label), labels(right, right_label, F.col(right_order).alias("_order"))
-    sizes_a, sizes_b = lengths(a), lengths(b)
-    if not sizes_a or not sizes_b:
-        return left.select(left_label, F.col(left_label).cast(right.schema[right_label].dataType).alias("matched")).limit(0)
-    # what two labels share: a part of the left one, a part of the right one; within one edit: all, all but one character of
-    # either, or (kinds from 1) all but the character at a place
-    PART_LEFT, PART_RIGHT, SAME, LESS_LEFT, LESS_RIGHT = 0, -1, -2, -3, -4
-    short = F.substring("_low", 1, 20)
-
-    def pair(kind: Column, text: Column) -> Column:
-        return F.named_struct(F.lit("kind"), kind, F.lit("text"), text)
-
-    def keys(kind: int, texts: Column) -> Column:
-        return F.transform(texts, lambda t: pair(F.lit(kind), t))
-
-    def near(less: int, whole: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.char_length(short)), lambda i: pair(i, F.concat(F.substring(short, F.lit(1), i - 1), F.substring(short, i + 1, F.lit(20)))))
-        return F.concat(keys(SAME, F.array(short)), keys(whole, F.array(short)), keys(less, F.array_distinct(F.transform(cut, lambda c: c["text"]))), cut)
-
-    def keyed(df: DataFrame, contained: Column, close: Column, sizes: Column, *columns: str) -> DataFrame:
-        sure = df.select(*columns, F.lit(0).alias("size"), F.inline(contained))
-        edits = df.filter("_n >= 2 and _low <> ''").select(*columns, close.alias("_keys"), F.explode(sizes).alias("size"))
-        return sure.unionByName(edits.select(*columns, "size", F.inline("_keys")))
-
-    mine = keyed(a, F.concat(keys(PART_LEFT, parts(sizes_b)), keys(PART_RIGHT, F.array("_low"))), near(LESS_LEFT, LESS_RIGHT), F.sequence(F.col("_n") - 3, F.col("_n") + 3), "_label")
-    theirs = keyed(b, F.concat(keys(PART_LEFT, F.array("_low")), keys(PART_RIGHT, parts(sizes_a))), near(LESS_RIGHT, LESS_LEFT), F.array("_n"), "_label", "_order")
-    first = theirs.groupBy("size", "kind", "text").agg(F.min(F.struct("_order", F.col("_label").alias("_right"))).alias("_first"))
-    level = F.when(F.col("size") == 0, 0).otherwise(1).alias("level")
-    best = mine.join(first, ["size", "kind", "text"]).groupBy("_label").agg(F.min(F.struct(level, "_first")).alias("_best"))
-    return best.select(F.col("_label").alias(left_label), F.col("_best._first._right").alias("matched"))
-
-
 def stack(tables: list[DataFrame], common_only: bool = False) -> DataFrame:
     if common_only:
         columns = [c for c in tables[0].columns if all(c in t.columns for t in tables)]

@@ -176,7 +176,26 @@ def test_match_labels(spark):
         b = spark.createDataFrame(names, "r string, o long")
         want = {(x, best(x, names)) for x in left if x is not None and best(x, names) is not None}
         assert set(rows(J.match_labels(a, b, "l", "r", "o"))) == want and len(want) > 5
+        # many blocks, all cut further
+        assert set(rows(J.match_labels(a, b, "l", "r", "o", block=25))) == want
     assert J.match_labels(a, b.limit(0), "l", "r", "o").columns == ["l", "matched"]
+    assert rows(J.match_labels(a.limit(0), b, "l", "r", "o")) == []
+
+
+def test_match_long_labels(spark):
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("abcdefgh\U0001f600ü"), 10_000))
+    a = spark.createDataFrame([(text.upper(),), ("aaa" + text + "bbb",), ("none of them",), ("tie",), (text[:9000],)], "l string")
+    b = spark.createDataFrame([(text, float("nan")), (text[5000:5040], 2.0), (text[1:], 2.0), ("a tie b", 1.0), ("b tie", 1.0), ("the tie", None), (text + "c", float("nan")), (None, None)], "r string, o double")
+    near = min(text[5000:5040], text[1:])
+    for block in (2 ** 20, 3000):
+        got = dict(rows(J.match_labels(a, b, "l", "r", "o", block=block)))
+        assert got == {text.upper(): near, "aaa" + text + "bbb": near, "tie": "the tie", text[:9000]: text[5000:5040]}
+    # a trigram that all labels share, in one block that is cut on both sides
+    a = spark.range(400).select(F.concat(F.lit("www"), F.lpad("id", 3, "0"), F.lit("www")).alias("l"))
+    b = spark.range(0, 400, 4).select(F.concat(F.lit("w"), F.lpad("id", 3, "0")).alias("r"), "id")
+    got = rows(J.match_labels(a, b, "l", "r", "id", block=600))
+    assert got == [(f"www{i:03d}www", f"w{i:03d}") for i in range(0, 400, 4)]
 
 
 def test_similar_texts(spark):
