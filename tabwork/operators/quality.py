@@ -116,26 +116,6 @@ def constants(df: DataFrame) -> DataFrame:
     return _long(df, facts).filter("same and data_count > 0").select("column")
 
 
-def diagnosis(df: DataFrame, order: str | None = None) -> DataFrame:
-    """rule, column, value, message: what is wrong, most important first; a handful of rows."""
-    part = lambda d, rule, column, value, message: d.select(F.lit(rule).alias("rule"), column.cast("string").alias("column"), value.cast("double").alias("value"), message.alias("message"))
-    none = F.lit(None).cast("string")
-    found = [
-        part(missing_report(df).filter("missing_percent > 20").limit(3), "missing", F.col("column"), F.col("missing_percent"), F.format_string("%s: %.1f%% missing", F.col("column"), F.col("missing_percent"))),
-        part(duplicate_rows(df).filter("duplicates > 0"), "duplicates", none, F.col("duplicates"), F.format_string("%d repeated rows", F.col("duplicates"))),
-        part(summary_rows(df).filter("summary_rows > 0"), "summary_rows", none, F.col("summary_rows"), F.format_string("%d summary rows", F.col("summary_rows"))),
-        part(constants(df).orderBy("column").limit(2), "constant", F.col("column"), F.lit(1), F.format_string("%s: one value only", F.col("column"))),
-    ]
-    if numeric_columns(df):
-        found.append(part(outliers(df).filter("outliers > 0").orderBy("column").limit(2), "outliers", F.col("column"), F.col("outliers"), F.format_string("%s: %d outliers", F.col("column"), F.col("outliers"))))
-    if text_columns(df):
-        found.append(part(mixed_types(df, order).orderBy("column").limit(2), "mixed", F.col("column"), F.col("share"), F.format_string("%s: text and numbers", F.col("column"))))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def numeric_stats(df: DataFrame, source: str) -> DataFrame:
     """source, column, min, mean, max (2 decimals)."""
     columns = [c for c in numeric_columns(df) if c != source]

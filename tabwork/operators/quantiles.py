@@ -33,11 +33,11 @@ def ordered_bits(x: Column) -> Column:
     return F.when(F.isnan(x), F.lit(2 ** 63 - 1)).when(x < 0, -bits).otherwise(bits)
 
 
-def quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], group: list[str] | None = None) -> DataFrame:
+def quantiles(df: DataFrame, columns: list[str], shares: tuple[float | Column, ...], group: list[str] | None = None) -> DataFrame:
     """The group's columns, column, n, q: the quantiles of each column's known values, in the order of shares.
 
     Values between two ranks are interpolated. NaN counts as the largest value. Groups of missing keys are groups; without known
-    values there is no row. A row per group and column; two to four rounds of jobs, of which the first two read df.
+    values there is no row. A share that is a Column is a rank from 0, a long by the group's columns as g0, g1, and so on. A row per group and column; two to four rounds of jobs, of which the first two read df.
     """
     group = group or []
     keys = [f"g{i}" for i in range(len(group))]
@@ -47,6 +47,7 @@ def quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], grou
     rows = df.select(*[F.col(f"`{g}`").alias(k) for g, k in zip(group, keys)], cells).filter("v IS NOT NULL").withColumn("v", F.when(F.col("v") == 0, 0.0).otherwise(F.col("v")))
     rows = rows.withColumn("bits", ordered_bits(F.col("v")))
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in place]
+    place_of = lambda s: s if isinstance(s, Column) else F.lit(s) * (F.col("total") - 1)
     known, state = [], None
     for r in range(ROUNDS):
         bucket = F.shiftright("bits", 64 - BITS * (r + 1)).alias("bucket")
@@ -58,7 +59,7 @@ def quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], grou
         sums = sums.withColumn("before", F.coalesce(before, F.lit(0)))
         if r == 0:
             sums = sums.withColumn("total", F.sum("n").over(by))
-            at = [F.lit(s) * (F.col("total") - 1) for s in shares]
+            at = list(map(place_of, shares))
             ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
             hit = F.filter(ranks, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))
             state = sums.select(*place, "total", F.explode(hit).alias("rank"), "bucket", F.col("before").alias("below"), "lo", "hi")
@@ -80,8 +81,8 @@ def quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], grou
         found = found.unionByName(k)
     found = found.groupBy(*place, "total").agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("of"))
 
-    def between(share: float) -> Column:
-        at = F.lit(share) * (F.col("total") - 1)
+    def between(share: float | Column) -> Column:
+        at = place_of(share)
         low, high = (F.try_element_at("of", f(at).cast("long")) for f in (F.floor, F.ceil))
         return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
 

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, quality as Q, select as P, text as X
+from ..operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, profiles as PR, quality as Q, select as P, text as X
+from ..operators.diagnosis import diagnosis
 from ..sources import tables as S
 from ..functions.folders import shared_dir
 from . import pipeline as D
@@ -589,11 +590,22 @@ UNION ALL SELECT 'outliers', 'far', k::DOUBLE, 'far: ' || k || ' outliers' FROM
 UNION ALL SELECT 'mixed', 'm', s, 'm: text and numbers' FROM m""")
 def q9_diagnosis(r):
     c, k = r("customer"), F.col("c_custkey")
-    return rounded(Q.diagnosis(c.select(
+    return rounded(diagnosis(c.select(
         k, F.when(k % 3 == 0, F.col("c_name")).alias("gap"), F.lit("x").alias("one"), F.get(F.array(*map(F.lit, ("소계", "plain", "a total of", "x"))), (k % 4).cast("int")).alias("label"),
         F.when(k % 50 == 0, 1e9 + k).otherwise(k % 7).alias("far"), F.when(k % 2 == 0, k.cast("string")).otherwise(F.col("c_name")).alias("m")), "c_custkey"), "value")
 
 
+@query("""WITH o AS (SELECT o_orderpriority, o_totalprice, CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS customer FROM orders), f AS (SELECT 'o_orderpriority' AS column, count(o_orderpriority) AS k, count(*) AS n, min(o_orderpriority) AS a, max(o_orderpriority) AS b, count(DISTINCT o_orderpriority) AS d FROM o
+UNION ALL SELECT 'customer', count(customer), count(*), min(customer)::VARCHAR, max(customer)::VARCHAR, NULL FROM o UNION ALL SELECT 'o_totalprice', count(o_totalprice), count(*), NULL, NULL, NULL FROM o)
+SELECT f."column", k::BIGINT AS data_count, (n - k)::BIGINT AS missing, a AS min, b AS max, d::BIGINT AS "distinct", 0::BIGINT AS summary_rows FROM f""")
+def q9_merged_profile(r):
+    o = r("orders")
+    parts = PR.states(o.select("o_orderpriority", "o_totalprice", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("customer"), "o_orderstatus"), F.col("o_orderstatus"))
+    # estimates and decimal texts are left to the tests
+    found, double = PR.report(PR.merged(parts.drop("o_orderstatus"))), F.col("kind") == "double"
+    return found.select("column", "data_count", "missing", F.when(~double, F.col("min")).alias("min"), F.when(~double, F.col("max")).alias("max"), F.when(F.col("column") == "o_orderpriority", F.col("distinct")).alias("distinct"), "summary_rows")
+
+
 @query("SELECT o_orderstatus, 'o_totalprice' AS column, round(min(o_totalprice), 2) AS min, round(avg(o_totalprice), 2) AS mean, round(max(o_totalprice), 2) AS max FROM orders GROUP BY 1")
 def q10_numeric_stats(r):
     return Q.numeric_stats(r("orders").select("o_orderstatus", "o_totalprice"), "o_orderstatus")

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwork.functions.rules import one_missing, to_number
-from tabwork.operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, quality as Q, select as P, similar, text as X
+from tabwork.operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, profiles as PR, quality as Q, select as P, similar, text as X
+from tabwork.operators.diagnosis import diagnosis
 from tabwork.operators.quantiles import ordered_bits, quantile_lists, quantiles
 from tabwork.plans import pipeline as D, table_queries
 from tabwork.sources import csv_files as CSV, tables as S
@@ -459,3 +460,79 @@ def test_late_runs(spark, tmp_path):
     got = [(r["u"], r["chain"], r["runs"], r["closed"]) for r in _streamed(spark, out, parts, tmp_path / "late", "late")]
     assert [x for x in got if x[0] == "a"] == [("a", "t → t", 2, False), ("a", "t → t", 2, True)]
     assert [x for x in got if x[0] == "b"] == [("b", " → ".join("t" * n), n, False) for n in (1, 2, 3)]
+
+
+def _diagnosed(df, order):
+    """The same findings by one operator each."""
+    out = [("missing", r["column"], r["missing_percent"]) for r in Q.missing_report(df).collect() if r["missing_percent"] > 20][:3]
+    again = Q.duplicate_rows(df).first()[0]
+    out += [("duplicates", None, again)] if again else []
+    some = Q.summary_rows(df).first()[0]
+    out += [("summary_rows", None, some)] if some else []
+    out += [("constant", c, 1) for c in sorted(r[0] for r in Q.constants(df).collect())[:2]]
+    out += [("outliers", c, n) for c, n in sorted((r["column"], r["outliers"]) for r in Q.outliers(df).collect() if r["outliers"])[:2]]
+    return out + [("mixed", c, round(x, 9)) for c, x in sorted((r["column"], r["share"]) for r in Q.mixed_types(df, order).collect())[:2]]
+
+
+def test_diagnosis(spark):
+    """Against the single operators: nulls, NaN, zeros of both signs, close and extreme values, ties, repeated rows, quartiles and limits in one bucket."""
+    g = np.random.default_rng(8)
+    seen = set()
+    for i in (0, 1, 8):
+        n = int(g.integers(40, 400))
+        spread = [1e-9, 1.0, 1e6][i % 3]
+        near = g.normal(1000, spread, n)
+        far = np.where(g.random(n) < 0.1, near * g.choice([3, -2, 1 + 8 * spread / 1000], n), near)
+        odd = g.choice([0.0, -0.0, 1.0, 2.0, 5e-324, -1e300, math.nan if i % 2 else 3.0, math.inf if i == 8 else 1.5], n)
+        data = [(k, float(near[k]), float(far[k]), float(odd[k]), None if k % 4 == 0 else int(g.integers(0, 3) ** 9), g.choice(["1,000", "x", "total"]) if k % 3 else None, "only", None) for k in range(n)]
+        data = data + data[:i]
+        df = spark.createDataFrame([(r[0] if r[0] > 2 else None, *r[1:]) for r in data], "id long, near double, far double, odd double, n int, t string, one string, none string").repartition(4)
+        # ties by order have equal texts
+        got = [(r["rule"], r["column"], round(r["value"], 9)) for r in diagnosis(df, "id").collect()]
+        assert got == _diagnosed(df, "id"), i
+        for rule in ("outliers", "mixed"):
+            assert {x for x in got if x[0] == rule} <= set(_diagnosed(df, "id"))
+        seen |= {x[0] for x in got}
+    assert seen == {"missing", "duplicates", "summary_rows", "constant", "outliers", "mixed"}
+    assert [f.name for f in diagnosis(df.limit(0), "id").schema] == ["rule", "column", "value", "message"] and rows(diagnosis(df.limit(0), "id")) == []
+    two = spark.createDataFrame([(None, "a"), ("a", None), ("a", None)], "x string, y string")
+    assert ("duplicates", None, 1.0, "1 repeated rows") in rows(diagnosis(two))
+
+
+def test_diagnosis_scans(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        read.add(1)
+        return x
+
+    df = spark.range(5000).select(counted.asNondeterministic()("id").alias("id"), F.when(F.col("id") % 100 == 0, 1e9).otherwise(F.col("id") % 977 + 0.5).alias("x"), F.when(F.col("id") % 2 == 0, F.lit("y")).otherwise(F.lit("3")).alias("t"))
+    assert {r[0] for r in diagnosis(df, "id").collect()} == {"outliers", "mixed"} and read.value == 10_000
+
+
+def test_profiles(spark, tmp_path):
+    """States of files: merged as if of one table; only new and changed files are read; files of other columns, without rows, without numbers."""
+    data = spark.range(6000).select("id", (F.col("id") % 1000).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("total "), F.col("id") % 7)).alias("t"))
+    for i in range(3):
+        data.filter(F.col("id") % 3 == i).drop(*(["x"] if i == 2 else [])).coalesce(1).write.parquet(str(tmp_path / f"f{i}"))
+    paths, asked = [str(tmp_path / f"f{i}") for i in range(3)], []
+
+    def read(files):
+        asked.append(len(files))
+        return spark.read.option("mergeSchema", "true").parquet(*files)
+
+    PR.refreshed(spark, paths[:2], read=read).write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    now = PR.refreshed(spark, paths[1:], kept, read)
+    assert asked == [2, 1] and now.count() == 2
+    assert PR.refreshed(spark, paths[:2], kept, read).count() == 2 and asked == [2, 1]
+    every = PR.merged(PR.refreshed(spark, paths, kept, read))
+    got = {r["column"]: r for r in PR.report(every).collect()}
+    assert [(got[c]["data_count"], got[c]["missing"], got[c]["summary_rows"]) for c in ("id", "x", "t")] == [(6000, 0, 0), (4000, 2000, 0), (4000, 2000, 4000)]
+    assert (got["id"]["min"], got["id"]["max"], got["t"]["min"], got["t"]["max"]) == ("0", "5999", "total 0", "total 6") and got["t"]["distinct"] == 7 and got["t"]["quantiles"] is None
+    assert abs(got["id"]["distinct"] - 6000) < 300 and all(abs(q - w) < 150 for q, w in zip(got["id"]["quantiles"], (1500, 3000, 4500)))
+    none = {r["column"]: r for r in PR.report(PR.merged(kept.limit(0))).collect()}
+    assert none["x"]["data_count"] == 0 and none["x"]["quantiles"] is None and none["x"]["distinct"] == 0
+    odd = PR.report(PR.states(spark.sql("SELECT double('NaN') AS x, map(1, 2) AS m, CAST(NULL AS binary) AS b"))).collect()
+    assert [(r["data_count"], r["quantiles"]) for r in odd] == [(1, None), (1, None), (0, None)]
