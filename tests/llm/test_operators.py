@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on odd rows: nulls, empty and repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -459,3 +460,45 @@ def test_toxicity_inputs(spark):
     again = toxicity.scored(moved, other, quick).collect()
     assert all(abs(r["score"] - base[r["doc_id"] % 10 ** 6]) < 1e-6 for r in again) and len(again) == 2 * len(base) + 3
     assert toxicity.scored(docs.limit(0), labels, quick).count() == 0
+
+
+def test_shards_plain_tree(spark):
+    """Every split of a plain k-d tree over the same points: along its widest dimension, at the point whose bytes are nearest to half."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i), f"{i} " + "x" * int(n), str(rng.choice(["de", "en", "fr"])), f"host{rng.integers(0, 40):02}") for i, n in enumerate(rng.integers(1, 4000, 3000))]
+    rows += [(5000 + i, rows[i][1], "en", "host99") for i in range(200)]
+    tree = sharding.Tree(leaves=8)
+    shard = {r["doc_id"]: r["shard"] for r in sharding.sharded(spark.createDataFrame(rows, DOCS.replace(", n_chars long", "")), tree).collect()}
+    texts = {}
+    for row in rows:
+        texts.setdefault(row[1], []).append(row)
+    rank = lambda k: {x: i for i, x in enumerate(sorted({r[k] for r in rows}))}
+    langs, hosts = rank(2), rank(3)
+    points = []
+    for text, same in texts.items():
+        assert len({shard[r[0]] for r in same}) == 1
+        place = (math.log2(len(text) + 1), min(r[0] for r in same), langs[min(r[2] for r in same)], hosts[min(r[3] for r in same)])
+        points.append((place, len(same) * (len(text) + 1), shard[same[0][0]]))
+    total = sum(b for _, b, _ in points)
+    assert max(b for _, b, _ in points) < tree.heavy_share * total / tree.leaves
+    ends = [(min(p[0][d] for p in points), max(p[0][d] for p in points)) for d in range(4)]
+
+    def check(inside, lo, hi):
+        """Points of a node and its shards; returns how many splits there are."""
+        assert {p[2] for p in inside} == set(range(lo, hi))
+        if hi - lo == 1:
+            return 0
+        low = [min(p[0][d] for p in inside) for d in range(4)]
+        high = [max(p[0][d] for p in inside) for d in range(4)]
+        width = [(high[d] - low[d]) / (ends[d][1] - ends[d][0]) for d in range(4)]
+        dim, mid = max(range(4), key=lambda d: (width[d], -d)), (lo + hi) // 2
+        step = lambda p: min(1023, int((p[0][dim] - low[dim]) / (high[dim] - low[dim]) * 1024))
+        left, right = [p for p in inside if p[2] < mid], [p for p in inside if p[2] >= mid]
+        # points of one step lie on both sides by a hash; all others as the dimension says
+        assert max(map(step, left)) <= min(map(step, right))
+        both, part = sum(p[1] for p in inside), sum(p[1] for p in left)
+        edge = [p[1] for p in inside if step(p) in (max(map(step, left)), min(map(step, right)))]
+        assert abs(part - both / 2) <= max(max(edge), tree.tolerance * total / tree.leaves)
+        return 1 + check(left, lo, mid) + check(right, mid, hi)
+
+    assert check(points, 0, 8) == 7
