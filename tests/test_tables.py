@@ -70,14 +70,25 @@ def test_grid(spark):
     got = [tuple(r) for r in N.fill_down(g, "source", "r", "a").orderBy("r").select("a", "t").collect()]
     assert got == [("A", "p"), ("A", "q"), ("A", "q"), ("B", None), ("B", "q")]
     assert N.column_classes(g).count() == 4
-    n = 33 * 18
-    many = spark.range(n).select(F.lit("f").alias("file"), F.lit("s").alias("sheet"), (F.col("id") / 18 + 1).cast("int").alias("row"), (F.col("id") % 18 + 1).cast("int").alias("col"), F.when((F.col("id") < 18) | (F.col("id") >= 68), "v").alias("value"))
-    r = N.used_range(many).first()
-    assert (r["first_row"], r["last_row"], r["data_cols"], r["filled_cells"], r["total_cells"]) == (1, 33, 18, 544, 594)
     two = spark.createDataFrame([("s", 1, "P", "a"), ("s", 2, None, "b"), ("s", 3, None, "b"), ("s", 4, "Q", None)], "source string, col int, upper string, lower string")
     assert [r["name"] for r in N.header_names(two).orderBy("col").collect()] == ["P_a", "P_b", "P_b_1", "Q"]
 
 
+def test_used_range(spark):
+    """Three sheets in one table: rows, columns, filled cells, all cells, density; blank cells, an empty sheet and one that begins further in."""
+    sheets = {"four": (33, 544), "five": (40, 663), "seven": (26, 425)}
+    cells = spark.createDataFrame([("none", 3, 2, " ")], "file string, row int, col int, value string")
+    for name, (height, filled) in sheets.items():
+        # at most two gaps a row, so that no row or column is empty
+        gaps = [18 * r + r % 18 for r in range(height)] + [18 * r + (r + 5) % 18 for r in range(height)]
+        gap = F.when(F.col("id").isin(gaps[:18 * height - filled]), F.when(F.col("id") % 2 == 0, "\u3000 ")).otherwise("v")
+        cells = cells.union(spark.range(18 * height).select(F.lit(name), (F.floor(F.col("id") / 18) + 1).cast("int"), (F.col("id") % 18 + 1).cast("int"), gap))
+    cells = cells.union(spark.createDataFrame([("in", 5, 3, "x"), ("in", 7, 9, "y")], cells.schema))
+    got = {r["file"]: tuple(r)[2:] for r in N.used_range(cells.withColumn("sheet", F.lit("s"))).collect()}
+    want = {name: (1, height, 1, 18, height, 18, filled, 18 * height, round(filled / (18 * height), 3)) for name, (height, filled) in sheets.items()}
+    assert got == want | {"in": (5, 7, 3, 9, 2, 2, 2, 21, 0.095), "none": (3, 3, 2, 2, 0, 0, 0, 1, 0.0)}
+
+
 def test_pipeline(spark, tmp_path):
     t = {"t": spark.createDataFrame([("a", 1), ("b", 5)], "k string, v long")}
     good = [{"op": "load"}, {"op": "filter", "column": "v", "operator": "gt", "value": 2}, lambda df: df.withColumn("w", F.col("v") * 2), {"op": "save", "path": str(tmp_path / "o"), "format": "csv"}]
