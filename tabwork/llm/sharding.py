@@ -39,6 +39,8 @@ class Tree:
             raise ValueError("between 1 and 65536 leaves, as one row per leaf is broadcast")
 
 
+#: after so many levels the points are saved, so that a level works out no more than these again
+SAVED_LEVELS = 4
 DIMS = ("d_size", "d_id", "d_lang", "d_source")
 
 
@@ -151,13 +153,16 @@ def sharded(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     goal = [max(leaf - h, 0.0) for h in held]
     points = groups.filter(F.col("bytes") <= tree.heavy_share * leaf).select("group", "bytes", *DIMS, F.lit(1).alias("node"))
     span = {d: (total[f"{d}0"] or 0.0, total[f"{d}1"] or 0.0) for d in DIMS}
-    nodes = {1: (0, tree.leaves)}
+    nodes, level = {1: (0, tree.leaves)}, 0
     while any(hi - lo > 1 for lo, hi in nodes.values()):
+        if level and level % SAVED_LEVELS == 0:
+            points = saved(points, "points")
         splits = _widths(points, span, nodes, goal)
         cut = _thresholds(points, splits, tree.tolerance * leaf) if splits else {}
         table = spark.createDataFrame([(*s[:4], cut[s[0]]) for s in splits], "sn int, dim int, low double, wide double, threshold long")
         side = F.when(F.col("sn").isNull(), F.col("node")).when(F.col("key") < F.col("threshold"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
         points = _keyed(points, table).select("group", "bytes", *DIMS, side.alias("node"))
+        level += 1
         nodes = {child: part for n, (lo, hi) in nodes.items() for child, part in (((2 * n, (lo, (lo + hi) // 2)), (2 * n + 1, ((lo + hi) // 2, hi))) if hi - lo > 1 else ((n, (lo, hi)),))}
     leaves = spark.createDataFrame([(n, lo) for n, (lo, _) in nodes.items()], "leaf int, shard int")
     light = points.join(F.broadcast(leaves), F.col("node") == F.col("leaf")).select("group", "shard")

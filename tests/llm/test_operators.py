@@ -462,12 +462,13 @@ def test_toxicity_inputs(spark):
     assert toxicity.scored(docs.limit(0), labels, quick).count() == 0
 
 
-def test_shards_plain_tree(spark):
+@pytest.mark.parametrize("leaves", [8, 32])
+def test_shards_plain_tree(spark, leaves):
     """Every split of a plain k-d tree over the same points: along its widest dimension, at the point whose bytes are nearest to half."""
     rng = np.random.default_rng(2)
     rows = [(int(i), f"{i} " + "x" * int(n), str(rng.choice(["de", "en", "fr"])), f"host{rng.integers(0, 40):02}") for i, n in enumerate(rng.integers(1, 4000, 3000))]
     rows += [(5000 + i, rows[i][1], "en", "host99") for i in range(200)]
-    tree = sharding.Tree(leaves=8)
+    tree = sharding.Tree(leaves=leaves)
     shard = {r["doc_id"]: r["shard"] for r in sharding.sharded(spark.createDataFrame(rows, DOCS.replace(", n_chars long", "")), tree).collect()}
     texts = {}
     for row in rows:
@@ -501,4 +502,4 @@ def test_shards_plain_tree(spark):
         assert abs(part - both / 2) <= max(max(edge), tree.tolerance * total / tree.leaves)
         return 1 + check(left, lo, mid) + check(right, mid, hi)
 
-    assert check(points, 0, 8) == 7
+    assert check(points, 0, leaves) == leaves - 1
