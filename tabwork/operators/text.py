@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .similar import bigrams, gram_weights, similar_texts  # noqa: F401  similar_texts is an operator of this module
+from .similar import bigrams, gram_weights, similar_texts  # noqa: F401  similar_texts and similar_vectors are operators of this module
+from .vectors import similar_vectors  # noqa: F401
 
-#: pairs of blocks are spread over up to so many tasks
-MOST_TASKS = 10_000
 FENCE = r"(?s)```[A-Za-z0-9_+-]*[ \t]*\n(.*?)```"
 
 
@@ -21,73 +18,6 @@ def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     return raw.join(norm, key).select(key, "gram", "idf", (F.col("x") / F.col("norm")).alias("w"))
 
 
-def _joined(parts: list[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
-    # an empty column of numbers does not go back to Spark as text
-    return pd.concat(parts) if parts else pd.DataFrame(columns=columns, dtype=object)
-
-
-def similar_vectors(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 2, category: str | None = None, bonus: float = 0.1, block: int = 8192) -> DataFrame:
-    """query, rank, match, score by cosine over ready vectors, any number of queries. Both sides are counted and dealt into blocks of
-    about `block` rows; each pair of blocks is one group that gives its best k a query. The work is queries times vectors.
-
-    Scores are ranked to nine digits. A pair of null vectors, of different lengths or with a zero vector has a null score and ranks last.
-    """
-    fine = F.when(F.forall(vector, lambda x: x.isNotNull()), F.transform(vector, lambda x: x.cast("double")))
-    n_c, n_q = (max(1, -(-df.count() // block)) for df in (corpus, queries))
-
-    def dealt(df: DataFrame, name: str, own: int, other: int, mine: str, theirs: str) -> DataFrame:
-        kind = F.col(category).cast("string") if category else F.lit(None).cast("string")
-        return df.filter(F.col(key).isNotNull()).select(
-            F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs),
-            F.col(key).alias(name), fine.alias("_v"), kind.alias("_kind"))
-
-    def matrix(vectors: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([-1 if v is None else len(v) for v in vectors])
-        out = np.zeros((len(size), width))
-        for i, v in enumerate(vectors):
-            if size[i] > 0:
-                out[i, :size[i]] = v
-        return out, size
-
-    def solve(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        data = data.sort_values("match", kind="stable")
-        ids, kinds = data["match"].to_numpy(), data["_kind"].to_numpy()
-        width = max([0, *(len(v) for df in (data, asked) for v in df["_v"] if v is not None)])
-        v, v_size = matrix(data["_v"], width)
-        v_norm = np.sqrt((v * v).sum(1))
-        for at in range(0, len(asked), 256):
-            some = asked.iloc[at:at + 256]
-            q, q_size = matrix(some["_v"], width)
-            norm = np.sqrt((q * q).sum(1))[:, None] * v_norm[None]
-            known = (q_size[:, None] == v_size[None]) & (q_size >= 0)[:, None] & (norm != 0)
-            with np.errstate(all="ignore"):
-                scores = (q @ v.T) / norm
-            for i, (own, kind) in enumerate(zip(some["query"], some["_kind"])):
-                other = ids != own
-                s, ok, match = scores[i][other], known[i][other], ids[other]
-                if kind is not None:
-                    s = s + np.where(kinds[other] == kind, bonus, 0.0)
-                # nine digits as integers; NaN is the largest, as in SQL, and null the least
-                level = np.full(len(s), LEAST)
-                level[ok] = np.where(np.isnan(s[ok]), -LEAST, np.rint(np.nan_to_num(s[ok]) * 1e9)).astype(np.int64)
-                keep = np.arange(len(s))
-                if len(s) > k:
-                    keep = np.flatnonzero(level >= np.partition(level, len(s) - k)[len(s) - k])
-                best = keep[np.argsort(-level[keep], kind="stable")[:k]]
-                parts.append(pd.DataFrame({"query": own, "match": match[best], "score": s[best], "known": ok[best], "level": level[best]}))
-        return _joined(parts, ["query", "match", "score", "known", "level"])
-
-    LEAST = -(2 ** 62)
-    kind_of = lambda df: df.schema[key].dataType.simpleString()
-    tasks = min(n_c * n_q, MOST_TASKS)
-    left = dealt(corpus, "match", n_c, n_q, "_c", "_q").repartition(tasks, "_c", "_q").groupBy("_c", "_q")
-    right = dealt(queries, "query", n_q, n_c, "_q", "_c").repartition(tasks, "_c", "_q").groupBy("_c", "_q")
-    local = left.cogroup(right).applyInPandas(solve, f"query {kind_of(queries)}, match {kind_of(corpus)}, score double, known boolean, level long")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("level"), "match"))
-    return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "match", F.when(F.col("known"), F.col("score")).alias("score"))
-
-
 def append_new(known: DataFrame, new: DataFrame, query: str) -> DataFrame:
     """known and those of new whose id (custom_ and eight hex digits of the query) is not there yet; one row per id."""
     named = new.withColumn("id", F.concat(F.lit("custom_"), F.substring(F.md5(query), 1, 8))).dropDuplicates(["id"])

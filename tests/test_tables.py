@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwork.functions.rules import one_missing, to_number
-from tabwork.operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, profiles as PR, quality as Q, select as P, similar, text as X
+from tabwork.operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, profiles as PR, quality as Q, select as P, similar, text as X, vectors
 from tabwork.operators.diagnosis import diagnosis
 from tabwork.operators.quantiles import ordered_bits, quantile_lists, quantiles
 from tabwork.plans import pipeline as D, table_queries
@@ -155,6 +155,60 @@ def test_similar_vectors(spark):
     assert rows(table_queries.queries()[name](spark, SF).select(*want.columns)) == sorted(want.fetchall(), key=repr)
 
 
+def test_similar_vectors_odd(spark):
+    """Lengths, missing and odd vectors, ties and repeated ids, in many small blocks and tasks, against all pairs."""
+    g = np.random.default_rng(8)
+    some = [None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [1e200, 1e200], [1e-200, 0.0], [float("inf"), 1.0]]
+    data = [(f"k{g.integers(60):02d}", [some[i % 8], g.integers(-2, 3, 2).astype(float).tolist(), g.integers(-2, 3, 3).astype(float).tolist()][i % 3], ["a", "b", None][g.integers(3)]) for i in range(240)]
+    data.append((None, [1.0, 1.0], "a"))
+    asked = list({d[0]: d for d in data if d[0]}.values())
+    df, queries = (spark.createDataFrame(d, "id string, v array<double>, kind string").repartition(3) for d in (data, asked))
+    for bonus in (0.1, -0.2):
+        got = {(r["query"], r["rank"]): (r["match"], r["score"]) for r in X.similar_vectors(df, queries, "id", "v", 4, "kind", bonus, block=16).collect()}
+        assert len(got) == 4 * len(asked)
+        for own, q, kind in asked:
+            want = []
+            for other, v, its in data:
+                if other is None or other == own:
+                    continue
+                level, score = 2 ** 62, None
+                if q is not None and v is not None and None not in (*q, *v) and len(q) == len(v):
+                    with np.errstate(all="ignore"):
+                        a, b = np.array(q), np.array(v)
+                        size = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
+                        if size != 0:
+                            score = float((a * b).sum() / size + bonus * (kind is not None and kind == its))
+                            level = -2 ** 62 if np.isnan(score) else -round(score * 1e9)
+                want.append((level, other, score))
+            for rank, (_, match, score) in enumerate(sorted(want, key=lambda w: w[:2])[:4], 1):
+                have = got[own, rank]
+                assert have[0] == match and (have[1] is None if score is None else np.isclose(have[1], score, equal_nan=True, atol=1e-9)), (own, rank)
+    assert X.similar_vectors(df.limit(0), queries, "id", "v").count() == 0
+    assert X.similar_vectors(df, queries.limit(0), "id", "v").columns == ["query", "rank", "match", "score"]
+
+
+def test_similar_vectors_looks_at_few():
+    """Of vectors around a hundred directions a query looks at a small part, and finds what all pairs give; a third of all rows are equal."""
+    g = np.random.default_rng(2)
+    around = g.normal(size=(100, 32))
+    v = around[g.integers(100, size=6000)] + 0.1 * g.normal(size=(6000, 32))
+    v[::3] = v[0]
+    asked = v[::20]
+    cells, none = vectors.make_cells(v), np.zeros(6000, int)
+    best = vectors._Best(np.full(300, vectors.LEAST + 1), 3, [np.array([i]) for i in range(0, 6000, 20)])
+    looked = vectors.search_cells(cells, none, asked, np.full(300, -1), 0.1, best)
+    assert looked < 0.5 * 300 * 6000
+    unit = v / np.sqrt((v * v).sum(1))[:, None]
+    for i, (levels, places, _) in enumerate(best.found):
+        s = np.rint(unit @ unit[20 * i] * 1e9).astype(int)
+        s[20 * i] = -2 ** 62
+        want = np.lexsort((np.arange(6000), -s))[:3]
+        assert np.abs(s[want] - levels).max() <= 1 and (i % 3 or places.tolist() == want.tolist())
+    rare = [i for i in range(300) if i % 3]
+    few = vectors._Best(np.full(len(rare), vectors.LEAST + 1), 3, [np.array([20 * i]) for i in rare])
+    assert vectors.search_cells(cells, none, asked[rare], np.full(len(rare), -1), 0.1, few) < 0.25 * len(rare) * 6000
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
