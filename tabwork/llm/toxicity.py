@@ -6,8 +6,10 @@ its character trigrams. Training sees labels of whole texts only: each epoch sco
 highest window stands for it. Learned vectors begin with the log-odds of their word.
 
 Windows begin every `stride` words, half a window, so each passage of up to 21 words lies whole in one. The training
-sample is bounded (`toxic_rows` + `clean_rows` labelled texts of smallest hash, without those of more than `longest_text`
-characters) and trained on the driver; scoring runs in the tasks, in chunks of bounded size.
+sample is bounded (`toxic_rows` + `clean_rows` labelled texts of smallest hash) and trained on the driver; scoring runs in
+the tasks, in chunks of bounded size. Of a sample text of more than `longest_text` characters, `pieces` passages of equal
+length are learned, evenly spaced from its first character to its last, which together have `longest_text`; no window lies
+across two of them. What makes such a text toxic may be in none of them; this concerns the training only.
 
 Defined results for odd input: a null or empty text gets the network's score of no words at all; labels that are null take
 no part, nor do labels of unknown documents or of documents without an id; a label that is there twice counts once (one
@@ -27,7 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import text_of
 from .shingles import in_chunks
@@ -50,6 +52,7 @@ class Network:
     toxic_rows: int = 1500
     clean_rows: int = 3000
     longest_text: int = 200_000
+    pieces: int = 20
     #: distinct words whose projections a worker keeps; beyond it they start anew
     cached_words: int = 100_000
     #: passes over the sample; small samples get more, in smaller batches, until there were `least_steps`
@@ -102,6 +105,21 @@ def char_features(words: list[str], how: Network) -> np.ndarray:
     return np.add.reduceat(vectors, starts, axis=0) / np.maximum(sizes - 2, 1)[:, None].astype(_f)
 
 
+#: between the passages of a long sample text; no text of the sample holds it otherwise
+CUT = "\x1d"
+
+
+def sample_windows(text: str, how: Network) -> tuple[list[str], list[tuple[int, int]]]:
+    """The words of a sample text and its windows, those of each passage by themselves."""
+    words, cuts = [], []
+    for passage in text.split(CUT):
+        own = words_of(passage)
+        if own or not cuts:
+            cuts += [(len(words) + a, len(words) + b) for a, b in windows(len(own), how)]
+        words += own
+    return words, cuts
+
+
 def windows(n: int, how: Network) -> list[tuple[int, int]]:
     """(start, end) of the overlapping windows of n words; one empty window where there are none."""
     last = max(n - how.window, 0)
@@ -241,7 +259,8 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int], how: Network = Network()) -> Model:
-    listed, y = [words_of(t) for t in texts], np.array(labels, dtype=_f)
+    parts, y = [sample_windows(t, how) for t in texts], np.array(labels, dtype=_f)
+    listed = [ws for ws, _ in parts]
     hits = [Counter(), Counter()]
     for ws, label in zip(listed, labels):
         hits[int(label)].update(set(ws))
@@ -257,9 +276,9 @@ def train(texts: list[str], labels: list[int], how: Network = Network()) -> Mode
     ids, chars = np.array([vocabulary.get(w, 0) for w in own]), char_features(own, how)
     at = np.array([rank[w] for ws in listed for w in ws], dtype=np.int64)
     cuts, first, base = [], [], 0
-    for ws in listed:
+    for ws, own in parts:
         first.append(len(cuts))
-        cuts += [(base + a, base + b) for a, b in windows(len(ws), how)]
+        cuts += [(base + a, base + b) for a, b in own]
         base += len(ws)
     ends, spans = np.append(first, len(cuts)), np.array(cuts)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.p.items()}
@@ -290,13 +309,22 @@ def train(texts: list[str], labels: list[int], how: Network = Network()) -> Mode
     return model
 
 
+def passages(text: Column, how: Network) -> Column:
+    """A text of up to `longest_text` characters as it is, of a longer one `pieces` evenly spaced passages."""
+    size, n = how.longest_text // how.pieces, F.char_length(text)
+    plain = F.translate(text, CUT, " ")
+    step = (n - size) / F.lit(max(how.pieces - 1, 1))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(how.pieces - 1)), lambda i: F.substring(plain, (F.floor(i * step) + 1).cast("int"), F.lit(size)))
+    return F.when(n <= how.longest_text, plain).otherwise(F.array_join(cut, CUT))
+
+
 def sample(docs: DataFrame, labels: DataFrame, how: Network) -> tuple[list[str], list[int]]:
     """The bounded training sample: texts and labels; rows of smallest hash of each class."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
     order = F.xxhash64(F.lit(how.seed), F.col("doc_id"))
     picked = known.filter("toxic = 1").orderBy(order, "doc_id").limit(how.toxic_rows).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(how.clean_rows))
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").filter(F.char_length("text") <= how.longest_text)
-    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("text", passages(F.col("text"), how)).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 

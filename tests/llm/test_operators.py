@@ -286,6 +286,30 @@ def test_toxicity(spark):
     assert toxicity.scored(docs, marks.limit(0)).filter("score <> 0").count() == 0
 
 
+def test_toxicity_long_samples(spark):
+    """Long labelled texts are learned in passages: none is lost, each passage has windows of its own, and what is toxic all along is found."""
+    how = toxicity.Network(longest_text=400, pieces=4, least_steps=200)
+    long = "".join(chr(0x4E00 + i) for i in range(1000))
+    docs = spark.createDataFrame([(1, long), (2, long[:400]), (3, "a\x1db"), (4, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    texts, labels = toxicity.sample(docs, marks, how)
+    assert labels == [1, 0, 0, 1] and texts[1:] == [long[:400], "a b", ""]
+    assert texts[0].split(toxicity.CUT) == [long[a:a + 100] for a in (0, 300, 600, 900)]
+    words, cuts = toxicity.sample_windows("a b c\x1d\x1dd e", toxicity.Network(window=2, stride=1))
+    assert words == list("abcde") and cuts == [(0, 2), (1, 3), (3, 5)]
+    assert toxicity.sample_windows("\x1d", how) == ([], [(0, 0)])
+    rng, names = np.random.default_rng(4), [f"w{i}" for i in range(50)]
+    rows = []
+    for i in range(200):
+        text = rng.choice(names, size=300).tolist()
+        if i % 2:
+            text[::15] = ["vile"] * 20
+        rows.append((i, " ".join(text), i % 2))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(table, table.filter("doc_id < 150"), how).collect()}
+    assert np.mean([got[i] == i % 2 for i in range(150, 200)]) > 0.95
+
+
 def test_gru_gradients():
     how = toxicity.Network(hidden=3, attention=2, word_dims=2, char_dims=2, window=5)
     model = toxicity.Model(how, {"a": 1, "b": 2}, np.zeros(3, np.float32))
