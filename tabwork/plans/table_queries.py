@@ -616,6 +616,16 @@ def q11_text_stats(r):
     return Q.text_stats(r("part"), ["p_brand"])
 
 
+@query("""WITH v AS (SELECT unnest(['l_returnflag', 'l_quantity', 'l_suppkey']) AS c, unnest([l_returnflag, l_quantity::VARCHAR, l_suppkey::VARCHAR]) AS value FROM lineitem),
+n AS (SELECT c, value, count(*)::BIGINT AS n FROM v GROUP BY ALL)
+SELECT c AS column, rank, value, n AS count FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, value)::INTEGER AS rank FROM n) WHERE rank <= 3""")
+def q11_frequent_merged(r):
+    """Frequent values from states by line number that keep 40 values each; what is in doubt is counted again."""
+    lines = r("lineitem").select("l_linenumber", "l_returnflag", *[F.col(c).cast("string").alias(c) for c in ("l_quantity", "l_suppkey")])
+    parts = PR.frequent(lines, F.col("l_linenumber"), ["l_returnflag", "l_quantity", "l_suppkey"], 40)
+    return PR.most_frequent_exact(parts, lines)
+
+
 @query("""SELECT 'p' AS column, least(100, count(*))::BIGINT AS n, 1.0::DOUBLE AS share FROM orders""")
 def q12_number_like(r):
     return Q.number_like(r("orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("string").alias("p")), "o_orderkey")

@@ -601,3 +601,38 @@ def test_profiles(spark, tmp_path):
     assert none["x"]["data_count"] == 0 and none["x"]["quantiles"] is None and none["x"]["distinct"] == 0
     odd = PR.report(PR.states(spark.sql("SELECT double('NaN') AS x, map(1, 2) AS m, CAST(NULL AS binary) AS b"))).collect()
     assert [(r["data_count"], r["quantiles"]) for r in odd] == [(1, None), (1, None), (0, None)]
+
+
+def test_frequent(spark, tmp_path):
+    """Bounds of counts hold for every value, sure ones are first, and the second scan gives exact counts; files of other columns."""
+    g = np.random.default_rng(4)
+    heavy = g.zipf(1.5, 6000) % 400
+    data = [(int(i % 5), f"v{heavy[i]}" if i % 11 else None, f"u{i % 700}", None, "ab"[i % 2]) for i in range(6000)]
+    df = spark.createDataFrame(data, "p int, heavy string, flat string, none string, few string")
+    columns, some = ["heavy", "flat", "none", "few"], PR.frequent(df, F.col("p"), keep=20)
+    real = {c: {} for c in columns}
+    for row in data:
+        for c, v in zip(columns, row[1:]):
+            if v is not None:
+                real[c][v] = real[c].get(v, 0) + 1
+    bounds = {(r["column"], r["value"]): r for r in PR.frequent_bounds(some).collect()}
+    for c in columns:
+        unseen = max([r["unseen"] for (k, _), r in bounds.items() if k == c], default=0)
+        for v, n in real[c].items():
+            assert bounds[c, v]["at_least"] <= n <= bounds[c, v]["at_most"] if (c, v) in bounds else n <= unseen
+    assert {(r["column"], r["count"]) for r in some.filter("value is null and part = 1").collect()} == {("heavy", sum(1 for d in data if d[0] == 1 and d[1] is None)), ("none", 1200)}
+    want = sorted((c, i, v, n) for c in columns for i, (v, n) in enumerate(sorted(real[c].items(), key=lambda x: (-x[1], x[0]))[:3], 1))
+    assert sorted(tuple(r) for r in PR.most_frequent_exact(some, df).collect()) == want
+    sure = [r for r in PR.most_frequent(some).collect() if r["certain"]]
+    assert {r["value"] for r in sure if r["column"] == "heavy"} and {r["value"] for r in sure if r["column"] == "few"} == {"a", "b"}
+    assert all(r["value"] in [w[2] for w in want if w[0] == r["column"]] for r in sure)
+    assert not [r for r in PR.most_frequent(some).collect() if r["column"] == "flat" and r["certain"]]
+    assert PR.most_frequent_exact(PR.frequent(df.limit(0)), df.limit(0)).count() == 0
+    for i in range(2):
+        df.filter(f"p = {i}").drop(*(["few"] if i else [])).coalesce(1).write.parquet(str(tmp_path / f"f{i}"))
+    kept = PR.refreshed(spark, [str(tmp_path / "f0")], make=PR.frequent)
+    kept.write.parquet(str(tmp_path / "kept"))
+    both = PR.refreshed(spark, [str(tmp_path / f"f{i}") for i in range(2)], spark.read.parquet(str(tmp_path / "kept")), make=PR.frequent)
+    top = {(r["column"], r["rank"]): r for r in PR.most_frequent(both, 1).collect()}
+    n = sum(1 for d in data if d[0] in (0, 1) and d[1] == top["heavy", 1]["value"])
+    assert top["heavy", 1]["at_least"] == top["heavy", 1]["at_most"] == n and top["heavy", 1]["certain"]
