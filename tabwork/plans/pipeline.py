@@ -99,7 +99,7 @@ def run(steps: list, tables: dict[str, DataFrame], counted: bool = False) -> tup
             df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
             log[-1]["observed"] = seen
         if isinstance(step, dict) and step["op"] == "save":
-            src.save(df, step["path"], step.get("format", "csv"), step.get("mode", "errorifexists"))
+            log[-1]["path"] = src.save(df, step["path"], step.get("format", "csv"), step.get("mode", "errorifexists"), step.get("filename"))
     return df, log
 
 

@@ -44,11 +44,15 @@ def sheets(cells: DataFrame) -> DataFrame:
     return cells.groupBy("file").agg(names.alias("sheets"), F.count_distinct("sheet", "row").alias("rows"), F.count("value").alias("filled_cells"))
 
 
-def save(df: DataFrame, path: str, format: str = "csv", mode: str = "errorifexists") -> None:
+def save(df: DataFrame, path: str, format: str = "csv", mode: str = "errorifexists", filename: str | None = None) -> str:
+    """Saves df at path, or under a name in that folder, with the format as its ending; returns where. It is a folder of part files."""
+    if filename:
+        path = f"{path.rstrip('/')}/{filename.removesuffix('.' + format)}.{format}"
     if format not in ("csv", "parquet", "json", "orc"):
         raise ValueError("format must be csv, parquet, json or orc")
     writer = df.write.mode(mode).format(format)
     (writer.option("header", True) if format == "csv" else writer).save(path)
+    return path
 
 
 def preview(df: DataFrame, order: str, n: int = 10) -> DataFrame:

@@ -1,7 +1,9 @@
 """The rules for missing values, grids and pipelines on small frames; the queries against SQL on the smallest tables."""
 
 import datetime as dt
+import glob
 import math
+import threading
 import zipfile
 
 import duckdb
@@ -9,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabwork.functions.folders import saved, scratch, shared_dir
 from tabwork.functions.rules import one_missing, to_number
 from tabwork.operators import aggregate as A, charts as C, combine as J, filters as O, grid as N, profiles as PR, quality as Q, select as P, similar, text as X, vectors
 from tabwork.operators.diagnosis import diagnosis
@@ -636,3 +639,34 @@ def test_frequent(spark, tmp_path):
     top = {(r["column"], r["rank"]): r for r in PR.most_frequent(both, 1).collect()}
     n = sum(1 for d in data if d[0] in (0, 1) and d[1] == top["heavy", 1]["value"])
     assert top["heavy", 1]["at_least"] == top["heavy", 1]["at_most"] == n and top["heavy", 1]["certain"]
+
+
+def test_scratch(spark):
+    """Tables saved in a block go at its end, also when it fails; those of an outer block, another thread or none stay."""
+    there = lambda df: glob.glob(f"{shared_dir(spark).removeprefix('file://')}/tabwork-{df}-*")
+    df = spark.range(5)
+    kept = saved(df, "kept")
+    with scratch(spark):
+        outer = saved(df, "outer")
+        with pytest.raises(ZeroDivisionError), scratch(spark):
+            inner = saved(df, "inner")
+            other = threading.Thread(target=lambda: saved(df, "thread"))
+            other.start(), other.join()
+            assert inner.count() == 5 and there("inner") and there("thread")
+            1 / 0
+        assert not there("inner") and there("outer") and outer.count() == 5
+    assert not there("outer") and there("thread") and kept.count() == 5
+    with scratch(spark):
+        assert X.similar_vectors(spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id long, v array<double>"), spark.createDataFrame([(1, [1.0])], "id long, v array<double>"), "id", "v").count() == 1
+        assert there("vector-index")
+    assert not there("vector-index")
+
+
+@pytest.mark.parametrize("name, format, want", [("out", "csv", "out.csv"), ("out.csv", "csv", "out.csv"), ("a.b", "parquet", "a.b.parquet")])
+def test_save_by_name(spark, tmp_path, name, format, want):
+    df = spark.createDataFrame([(1, "x")], "k long, s string")
+    steps = [{"op": "load"}, {"op": "save", "path": str(tmp_path) + "/", "format": format, "filename": name}]
+    _, log = D.run(steps, {"a": df})
+    assert log[-1]["path"] == str(tmp_path / want)
+    back = spark.read.option("header", True).format(format).load(str(tmp_path / want))
+    assert rows(back.select(F.col("k").cast("long"), "s")) == [(1, "x")]
