@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.folders import shared_dir
+from ..functions.folders import saved  # noqa: F401  the operators of this subpackage take it from here
 
 #: A word is a run of characters other than space, tab, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tabwork-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str | Column = "text") -> Column:
     """The text with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
