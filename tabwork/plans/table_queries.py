@@ -64,11 +64,16 @@ def s4_inventory(r):
     return out.withColumn("types", F.regexp_replace("types", "timestamp(_ntz)?", "timestamp_ntz"))
 
 
+def _dealt(t: DataFrame, key: str) -> DataFrame:
+    """t by key over as many tasks, and so files, as it takes to scan it, at least three: what one task gets does not grow with t."""
+    return t.repartition(max(3, t.rdd.getNumPartitions()), key)
+
+
 def _copied(r, format: str) -> str:
     """The orders in files of a format, in a folder of their own."""
     orders = r("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     path = f"{shared_dir(orders.sparkSession)}/tabwork-orders-{uuid.uuid4().hex}"
-    S.save(orders.repartition(3, "o_orderkey"), path, format)
+    S.save(_dealt(orders, "o_orderkey"), path, format)
     return path
 
 
@@ -91,7 +96,7 @@ def _quoted_csv(r) -> str:
     """The documents as CSV: texts with line breaks, commas and quotes, quotes doubled."""
     docs = r("documents").select("doc_id", F.concat(F.lit('a "b",\n'), F.coalesce("text", F.lit(""))).alias("text"), "n_chars")
     path = f"{shared_dir(docs.sparkSession)}/tabwork-documents-{uuid.uuid4().hex}"
-    docs.repartition(3, "doc_id").write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    _dealt(docs, "doc_id").write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 

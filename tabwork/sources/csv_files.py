@@ -166,12 +166,13 @@ def file_info(spark: SparkSession, path: str) -> DataFrame:
 def load_files(spark: SparkSession, path: str, common_only: bool = False) -> DataFrame:
     """CSV files of different columns as one table: all columns (or those that all files have), each of the type that holds its values in every file, with source and _row_id.
 
-    A job finds names and types, a row per column name; common_only takes two small ones more.
+    Jobs: one saves the records, one finds names and types, a row per column name, one saves the names of each file; common_only takes two small ones more.
     """
     rows = saved(records(spark, path), "csv-records")
     found = column_info(rows, False).orderBy("first").collect()
     names = F.transform(fields("record"), lambda n, i: F.coalesce(n, F.concat(F.lit("_c"), i.cast("string"))))
-    files = rows.filter("number = 1").select(F.col("source").alias("s"), names.alias("names"))
+    # a row per file: broadcast by its measured size, as a shuffle by file would bring a file's records to one task
+    files = saved(rows.filter("number = 1").select(F.col("source").alias("s"), names.alias("names")), "csv-names")
     chosen = found
     if common_only:
         n = files.count()

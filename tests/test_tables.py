@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import hashlib
 import math
 import threading
 import zipfile
@@ -389,6 +390,43 @@ def test_csv_records(spark, tmp_path, size):
             spark.conf.set(k, v)
 
 
+def test_csv_copies_dealt(spark, tmp_path):
+    """Four times the rows give four times the files or so, none of them larger, and the queries read every row back."""
+    made, old = {}, {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        for n in (8, 32):
+            k = spark.range(100 * n)
+            k.select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"), F.lit(32).alias("n_chars")).repartition(n).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+            k.select(F.col("id").alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), F.rand(1).alias("o_totalprice")).repartition(n).write.parquet(f"{tmp_path}/{n}/orders.parquet")
+            read = lambda name: spark.read.parquet(f"{tmp_path}/{n}/{name}.parquet")  # noqa: B023, E731
+            for name, path in (("documents", table_queries._quoted_csv(read)), ("orders", table_queries._copied(read, "csv"))):
+                made[name, n] = [len(open(f).readlines()) for f in glob.glob(path.removeprefix("file://") + "/*.csv")]
+            assert table_queries.s1_quoted_line_breaks(read).agg(F.count_distinct("doc_id")).first()[0] == 100 * n
+            assert table_queries.s1_row_numbers(read).first()[:] == (100 * n, 100 * n)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name in ("documents", "orders"):
+        assert len(made[name, 8]) >= 3 and len(made[name, 32]) >= 2 * len(made[name, 8]) and max(made[name, 32]) <= 1.5 * max(made[name, 8])
+
+
+def test_csv_records_stay(spark, tmp_path):
+    """The names of each file go to its records, which are not dealt by file, however large the table of records is."""
+    for f, n in (("a", 3000), ("b", 5)):
+        (tmp_path / f"{f}.csv").write_text("id,text\n" + "".join(f'{i},"{hashlib.md5(f"{f}{i}".encode()).hexdigest()}\n"\n' for i in range(n)))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+        out = CSV.load_files(spark, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert rows(out.groupBy("source").agg(F.count("text"), F.max("_row_id"))) == [("a.csv", 3000, 3000), ("b.csv", 5, 5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_csv_layouts(spark, tmp_path):
     """Types of different files meet in the narrowest that holds both; missing cells are counted by file and column; empty files and names."""
     (tmp_path / "a.csv").write_text("id,x,flag\n1,2,true\n2,,false\n")
