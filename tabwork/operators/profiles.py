@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..functions.folders import saved
 from ..functions.rules import text_columns
 from .quality import SUMMARY_ROW, text_stats
 
@@ -104,20 +105,21 @@ def most_frequent_exact(some: DataFrame, df: DataFrame, most: int = 3) -> DataFr
     """column, rank, value, count: exactly the most frequent values of df, whose states `some` are; ties by value.
 
     A scan of df counts the values that the bounds leave in doubt. Columns of which a value kept nowhere might be among the first are
-    counted whole; which these are takes a job.
+    counted whole. Jobs: one saves the bounds, two small ones tell which columns these are, one saves the values in doubt.
     """
-    bounds = frequent_bounds(some)
+    bounds = saved(frequent_bounds(some), "frequent-bounds")
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("at_least"), "value"))
     last = bounds.withColumn("_n", rank).filter(F.col("_n") <= most).groupBy("column").agg(F.min("at_least").alias("_last"), F.max("_n").alias("_n"), F.max("unseen").alias("unseen"))
     # with fewer values than asked for, any value may be among the first
     cut = F.when(F.col("_n") == most, F.col("_last")).otherwise(0)
-    columns = [r["column"] for r in some.select("column").distinct().collect()]
+    columns = [r["column"] for r in bounds.select("column").distinct().collect()]
     doubt = [r["column"] for r in last.filter((F.col("unseen") > 0) & (F.col("unseen") >= cut)).select("column").collect()]
     sure = [c for c in columns if c not in doubt]
     counts = []
     if sure:
-        wanted = bounds.join(last.select("column", cut.alias("_cut")), "column").filter(F.col("at_most") >= F.col("_cut")).select("column", "value")
-        counted = _values(df, None, sure).drop("part").join(wanted, ["column", "value"], "left_semi").groupBy("column", "value").agg(F.count("*").alias("count"))
+        wanted = saved(bounds.join(last.select("column", cut.alias("_cut")), "column").filter(F.col("at_most") >= F.col("_cut")).select("column", "value"), "frequent-doubt")
+        # counted first, so that rows of one value never meet in a task; Spark broadcasts few wanted values and looks them up before
+        counted = _values(df, None, sure).drop("part").groupBy("column", "value").agg(F.count("*").alias("count")).join(wanted, ["column", "value"], "left_semi")
         again = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
         counts.append(counted.withColumn("rank", again).filter(F.col("rank") <= most).select("column", "rank", "value", "count"))
     if doubt:

@@ -679,6 +679,26 @@ def test_frequent(spark, tmp_path):
     assert top["heavy", 1]["at_least"] == top["heavy", 1]["at_most"] == n and top["heavy", 1]["certain"]
 
 
+def test_frequent_hot(spark):
+    """Rows of a frequent value do not meet in a task: few values in doubt are broadcast, else values are counted before the join."""
+    k = F.col("id")
+    df = spark.range(0, 40000, 1, 8).select((k % 4).alias("p"), F.when(k % 10 > 0, "hot").otherwise(F.concat(F.lit("v"), k % 50)).alias("c"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in ("20k", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            out = PR.most_frequent_exact(PR.frequent(df, F.col("p"), keep=20), df)
+            if threshold == "-1":
+                lines = [x.strip(" :+-") for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+                at = next(i for i, x in enumerate(lines) if x.startswith("Join LeftSemi"))
+                assert lines[at + 1].startswith("Aggregate")
+            else:
+                assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+            assert rows(out) == [("c", 1, "hot", 36000), ("c", 2, "v0", 800), ("c", 3, "v10", 800)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_scratch(spark):
     """Tables saved in a block go at its end, also when it fails; those of an outer block, another thread or none stay."""
     there = lambda df: glob.glob(f"{shared_dir(spark).removeprefix('file://')}/tabwork-{df}-*")
